@@ -23,6 +23,15 @@ def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), op.ids_digest().alias("ids_sha256"), common.hex_digest("decoded").alias("decoded_sha256"))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finds personal data, and terms that reveal it, in every text."""
+    from . import pii as op
+
+    found = op.sanitise(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in op.KINDS]
+    return found.select("doc_id", *counts, common.hex_digest(op.listed(*op.KINDS)).alias("base_sha256"), op.listed(*op.KINDS, "term").alias("spans"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every text; rows with crc32(doc_id) mod 4 = 2 are held out of fitting."""
     from . import quality_classifier as op
@@ -64,6 +73,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentence_pieces, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op9_token_counts, op10_license_scan)
+    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op9_token_counts, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
