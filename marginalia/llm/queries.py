@@ -56,6 +56,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.rules(documents(spark, sf_dir))
 
 
+def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest inner products of every 50th vector with all others."""
+    from . import top_products as op
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return op.top_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts tokens of every text; the cache is new, so all distinct texts are misses."""
     from . import token_counts as op
@@ -73,6 +81,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op9_token_counts, op10_license_scan)
+    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op7_top_products, op9_token_counts, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
