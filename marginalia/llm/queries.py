@@ -64,6 +64,13 @@ def op7_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.top_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op8_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingle sets have a Jaccard index of 0.85 or more."""
+    from . import similar_documents as op
+
+    return op.similar(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts tokens of every text; the cache is new, so all distinct texts are misses."""
     from . import token_counts as op
@@ -81,6 +88,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op7_top_products, op9_token_counts, op10_license_scan)
+    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op7_top_products, op8_similar_documents, op9_token_counts, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
