@@ -42,6 +42,13 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+def op4_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes words of 13-word windows that a document with a smaller id holds."""
+    from . import repeated_spans as op
+
+    return op.deduplicate(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixes all documents to the sources' target weights."""
     from . import mixing as op
@@ -88,6 +95,6 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op5_source_mixture, op6_quality_rules, op7_top_products, op8_similar_documents, op9_token_counts, op10_license_scan)
+    for f in (op1_sentence_pieces, op2_personal_data, op3_quality_classifier, op4_repeated_spans, op5_source_mixture, op6_quality_rules, op7_top_products, op8_similar_documents, op9_token_counts, op10_license_scan)
 }
 ORACLE_SQL: dict[str, str] = {}
