@@ -10,43 +10,40 @@ def prefix_length(n: Column, threshold: Column) -> Column:
     return n - F.ceil(threshold * n - F.lit(1e-9)) + 1
 
 
-def similar_pairs(units: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
-    """Pairs (a, b, shared, total) with shared / total >= threshold, a < b.
+def classes(units: DataFrame, block: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Folds units of equal token sets: heads (head, tokens, n) and members (unit, head).
 
-    ``units`` has (unit: orderable, tokens: array, and the block columns);
-    pairs stay within a block. Units of equal token sets are folded first, and
-    come back as pairs with the folded unit's partners, so a group of copies
-    costs one unit in the join.
+    ``units`` has (unit: orderable, tokens: array, and the block columns).
     """
     block = block or []
     units = units.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0)
     units = units.withColumn("sets", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), "\x1f"), 256))
     heads = units.groupBy(*block, "sets").agg(F.min("unit").alias("head"), F.first("tokens").alias("tokens"))
-    members = units.select("unit", "sets", *block)
-    long = heads.select(*block, "head", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    members = units.select(*block, "unit", "sets").join(heads.select(*block, "sets", "head"), [*block, "sets"])
+    return heads.select(*block, "head", "tokens", F.size("tokens").alias("n")), members.select(*block, "unit", "head")
+
+
+def similar_pairs(heads: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
+    """Pairs (a, b, shared, total) of heads with shared / total >= threshold, a < b, within a block.
+
+    A unit of n tokens need only show its n - ceil(t n) + 1 rarest; tokens of
+    one unit alone meet nothing, so most prefixes vanish before the join.
+    """
+    block = block or []
+    long = heads.select(*block, "head", "n", F.explode("tokens").alias("token"))
     frequency = long.groupBy(*block, "token").agg(F.count("*").alias("df"))
     ranked = long.join(frequency, [*block, "token"]).groupBy(*block, "head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
     prefix = ranked.select(*block, "head", "n", F.explode(F.slice("order", F.lit(1), prefix_length(F.col("n"), F.lit(threshold)).cast("int"))).alias("o"))
-    # A token of one unit meets nothing.
     prefix = prefix.where("o.df > 1").select(*block, "head", "n", F.col("o.token").alias("token"))
     right = prefix.select(*block, "token", F.col("head").alias("other"), F.col("n").alias("m"))
     fits = (F.col("head") < F.col("other")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9)
     candidates = prefix.join(right, [*block, "token"]).where(fits).select(*block, "head", "other").distinct()
-    a = heads.select(*block, F.col("head"), F.col("tokens").alias("x"), F.col("sets").alias("sets_a"))
-    b = heads.select(*block, F.col("head").alias("other"), F.col("tokens").alias("y"), F.col("sets").alias("sets_b"))
-    checked = candidates.join(a, [*block, "head"]).join(b, [*block, "other"])
-    shared = F.size(F.array_intersect("x", "y"))
-    checked = checked.select(*block, "sets_a", "sets_b", shared.alias("shared"), (F.size("x") + F.size("y") - shared).alias("total"))
+    a = heads.select(*block, "head", F.col("tokens").alias("x"))
+    b = heads.select(*block, F.col("head").alias("other"), F.col("tokens").alias("y"))
+    checked = candidates.join(a, [*block, "head"]).join(b, [*block, "other"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
+    checked = checked.withColumn("total", F.size("x") + F.size("y") - F.col("shared"))
     checked = checked.where(F.col("shared") >= F.lit(threshold) * F.col("total") - 1e-9)
-    left = members.select(*block, F.col("unit").alias("u"), F.col("sets").alias("sets_a"))
-    mates = members.select(*block, F.col("unit").alias("v"), F.col("sets").alias("sets_b"))
-    across = checked.join(left, [*block, "sets_a"]).join(mates, [*block, "sets_b"])
-    equal = members.join(heads.select(*block, "sets", F.size("tokens").alias("total")), [*block, "sets"])
-    within = equal.select(*block, "sets", F.col("unit").alias("u"), "total").join(
-        members.select(*block, "sets", F.col("unit").alias("v")), [*block, "sets"]
-    ).where("u < v")
-    out = across.select("u", "v", "shared", "total").unionByName(within.select("u", "v", F.col("total").alias("shared"), "total"))
-    return out.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.col("shared").cast("long"), F.col("total").cast("long"))
+    return checked.select(F.col("head").alias("a"), F.col("other").alias("b"), F.col("shared").cast("long"), F.col("total").cast("long"))
 
 
 def owners(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
