@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bodies import row_name, shared_values, unzipped, zipped
 from .words import _INVERSE, _PRIME, Words, buffers, grams, mix, powers, slices, words
 
 #: Words of a minimiser.
@@ -64,10 +65,6 @@ def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return at, edge, best[at], place[at]
 
 
-def row_name(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
 def _texts(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
 
@@ -85,41 +82,8 @@ def _distinct_minimisers(s: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndar
 
 
 def shared_minimisers(texts: DataFrame, k: int) -> DataFrame:
-    """Rows (m): the minimisers that two rows hold, and some of equal fingerprint."""
-    spark = texts.sparkSession
-    buckets = 1 << int(np.ceil(np.log2(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    shift = np.uint64(64 - int(np.log2(buckets)))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            m = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            third = np.zeros(len(m), bool)
-            third[2:] = m[2:] == m[:-2]
-            m = m[~third]
-            bucket = m >> shift
-            first = np.searchsorted(bucket, np.arange(buckets + 1).astype(np.uint64))
-            full = np.flatnonzero(np.diff(first))
-            offsets = pa.array((np.append(first[full], len(m)) * 8).astype(np.int32)).buffers()[1]
-            data = pa.Array.from_buffers(pa.binary(), len(full), [None, offsets, pa.py_buffer(m.tobytes())])
-            held.clear()
-            return pa.record_batch([pa.array(full.astype(np.int32)), data], ["bucket", "m"])
-
-        for b in batches:
-            for s in slices(b):
-                held.append(_distinct_minimisers(s, k)[0])
-                if sum(map(len, held)) > 1 << 22:
-                    yield packed()
-        yield packed()
-
-    def unpack(group: pa.Table) -> pa.Table:
-        m = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in group["m"].to_pylist()]))
-        again = np.zeros(len(m), bool)
-        again[1:] = m[1:] == m[:-1]
-        return pa.table({"m": pa.array(np.unique(m[again]).view(np.int64))})
-
-    return texts.where("key is not null").mapInArrow(pack, "bucket int, m binary").groupBy("bucket").applyInArrow(unpack, "m long")
+    """Rows (m): the minimisers that two rows hold."""
+    return shared_values(texts.where("key is not null"), lambda s: _distinct_minimisers(s, k)[0], "m")
 
 
 def _minimisers(texts: DataFrame, k: int) -> DataFrame:
@@ -132,34 +96,6 @@ def _minimisers(texts: DataFrame, k: int) -> DataFrame:
     return texts.where("key is not null").mapInArrow(run, "m long, key long")
 
 
-def _zipped(texts: DataFrame) -> DataFrame:
-    """Rows (key, row, body): compressed texts, for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            for s in slices(b):
-                data, offsets = buffers(s.column(1))
-                raw = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.record_batch([s.column(0), pa.array(map(row_name, raw), pa.int64()), pa.array(map(squeeze, raw), pa.binary())], ["key", "row", "body"])
-
-    return texts.where("key is not null").mapInArrow(run, "key long, row long, body binary")
-
-
-def _unzipped(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with their texts in place of ``body``, a few rows at a time."""
-    import zstandard
-
-    expand = zstandard.ZstdDecompressor().decompress
-    at = b.schema.get_field_index("body")
-    for i in range(0, b.num_rows, 64):
-        part = b.slice(i, 64)
-        text = pa.array([expand(x) for x in part.column(at).to_pylist()], pa.binary()).cast(pa.string())
-        yield from slices(part.set_column(at, "text", text))
-
-
 def path_rows(w: Words, k: int, shared: pa.Array) -> dict[str, np.ndarray | list]:
     """Paths of the rows of a slice over their shared minimisers (a list for each row)."""
     at, edge, m, place = windows(w, k)
@@ -190,7 +126,7 @@ def path_rows(w: Words, k: int, shared: pa.Array) -> dict[str, np.ndarray | list
 def _paths(bodies: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _unzipped(b):
+            for s in unzipped(b):
                 p = path_rows(words(s.column(2)), k, pa.concat_arrays([s.column(3)]))
                 of = pa.array(p["of"])
                 columns = [pa.array(p["m"]), pa.array(p["path"]), pa.array(p["n"]), s.column(0).take(of), s.column(1).take(of), pa.array(p["start"]), pa.array(p["edges"], pa.binary())]
@@ -219,7 +155,7 @@ def _cut(bodies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _unzipped(b):
+            for s in unzipped(b):
                 out = []
                 data, offsets = buffers(s.column(2))
                 for i, spans in enumerate(s.column(3).to_pylist()):
@@ -262,7 +198,7 @@ def deduplicate(docs: DataFrame, k: int = 13, text: str = "text", key: str = "do
     texts = _texts(docs, text, key)
     shared = shared_minimisers(texts, k)
     held = _minimisers(texts, k).join(shared, "m").groupBy("key").agg(F.collect_list("m").alias("shared"))
-    bodies = _zipped(texts).join(held, "key")
+    bodies = zipped(texts.where("key is not null")).join(held, "key")
     bodies = common.written(bodies, "bodies")
     paths = common.written(_paths(bodies, k), "paths")
     content = ["m", "path", "n"]
