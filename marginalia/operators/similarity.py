@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,8 @@ def classes(units: DataFrame, block: list[str] | None = None) -> tuple[DataFrame
     """
     block = block or []
     units = units.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0)
-    units = units.withColumn("sets", F.sha2(F.array_join(F.col("tokens").cast("array<string>"), "\x1f"), 256))
+    # Two hashes name a set.
+    units = units.withColumn("sets", F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(1), "tokens").alias("y")))
     heads = units.groupBy(*block, "sets").agg(F.min("unit").alias("head"), F.first("tokens").alias("tokens"))
     members = units.select(*block, "unit", "sets").join(heads.select(*block, "sets", "head"), [*block, "sets"])
     return heads.select(*block, "head", "tokens", F.size("tokens").alias("n")), members.select(*block, "unit", "head")
@@ -30,6 +32,8 @@ def similar_pairs(heads: DataFrame, threshold: float, block: list[str] | None =
     one unit alone meet nothing, so most prefixes vanish before the join.
     """
     block = block or []
+    # Sets are read four times below; what an executor loses is computed again.
+    heads = heads.persist(StorageLevel.MEMORY_AND_DISK)
     long = heads.select(*block, "head", "n", F.explode("tokens").alias("token"))
     frequency = long.groupBy(*block, "token").agg(F.count("*").alias("df"))
     ranked = long.join(frequency, [*block, "token"]).groupBy(*block, "head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))

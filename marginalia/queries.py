@@ -1,6 +1,363 @@
-"""Registered queries of the document engine and their SQL."""
+"""Registered queries of the document engine, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .operators import evaluate, links, policy, report, similarity
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Text ---------------------------------------------------------------------
+
+
+def sentence_split(spark, d):
+    docs = _table(spark, d, "documents")
+    rows = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence"))
+    return rows.select("doc_id", F.col("idx").cast("long").alias("idx"), "sentence")
+
+
+def line_table(spark, d):
+    """Byte spans of lines."""
+    docs = _table(spark, d, "documents")
+    lines = F.split("text", r"\r\n|\r|\n", -1)
+    rows = docs.select("doc_id", F.posexplode(lines).alias("line", "content"))
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.sum(F.octet_length("content") + 1).over(before)
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(at, F.lit(0)).cast("long").alias("start_byte"), F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+def detect_language(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("documents").alias("origin"))
+    talk = _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.lit("conversations").alias("origin"))
+    return docs.unionByName(talk).select("origin", "id", T.language(F.col("text")).alias("language"))
+
+
+def shingle_stats(spark, d):
+    docs = _table(spark, d, "documents")
+    per = docs.select("lang", F.size(T.shingles(T.folded(F.col("text")), 5)).alias("n"), T.alphanumerics(F.col("text")).alias("alnum"))
+    return per.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_shingles"), F.max("n").cast("long").alias("most"), F.count_if(F.col("alnum") >= 80).alias("n_units"))
+
+
+def _document_heads(spark, d):
+    docs = _table(spark, d, "documents")
+    hashed = F.transform(T.shingles(T.folded(F.col("text")), 5), lambda s: F.xxhash64(s))
+    units = docs.where(T.alphanumerics(F.col("text")) >= 80).select(F.col("doc_id").alias("unit"), "lang", hashed.alias("tokens"))
+    return similarity.classes(units.where(F.size("tokens") >= 8), ["lang"])
+
+
+def near_duplicate_documents(spark, d):
+    heads, _ = _document_heads(spark, d)
+    return similarity.similar_pairs(heads, 0.9, ["lang"])
+
+
+def _ranks(spark, d):
+    labels = _table(spark, d, "labels").select(F.col("doc_id").alias("unit"), (F.col("quality") * 2 - F.col("toxic")).alias("rank"))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("unit")).join(labels, "unit", "left").fillna(0, ["rank"])
+
+
+def near_duplicate_owner(spark, d):
+    owned = similarity.owners(near_duplicate_documents(spark, d), _ranks(spark, d))
+    return owned.where("higher is not null").select("unit", F.col("higher").alias("owner"))
+
+
+def ambiguous_owner(spark, d):
+    owned = similarity.owners(near_duplicate_documents(spark, d), _ranks(spark, d))
+    return owned.where("higher is null and tied is not null").select("unit", "tied")
+
+
+def threshold_sweep(spark, d):
+    return evaluate.sweep(near_duplicate_documents(spark, d), [0.9, 0.95, 0.99])
+
+
+def exact_duplicates(spark, d):
+    docs = _table(spark, d, "documents")
+    rows = docs.groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
+    return rows.where("copies > 1")
+
+
+def containment_overlap(spark, d):
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("[a-z]+"), F.lit(0)))
+    items = _table(spark, d, "benchmark").select(F.col("item_id").alias("item"), words("text").alias("tokens"))
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("unit"), words("text").alias("tokens"))
+    return similarity.containment(items, docs, 0.8)
+
+
+# Lexical rules ------------------------------------------------------------
+
+
+def marker_positions(spark, d):
+    docs = _table(spark, d, "documents")
+    hit = T.marker(F.col("text"), ["the", "of the"])
+    return docs.select("doc_id", hit["start"].cast("long").alias("start"), hit["end"].cast("long").alias("stop")).where("start is not null")
+
+
+def conditional_sentences(spark, d):
+    rows = sentence_split(spark, d)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.contains_any(F.col("sentence"), ["was", "with", "of"])).alias("n_hits"))
+
+
+def number_mentions(spark, d):
+    docs = _table(spark, d, "documents")
+    found = F.regexp_extract_all("text", F.lit(r"[0-9]+(?:\.[0-9]+)+"), F.lit(0))
+    return docs.select("doc_id", F.explode(found).alias("value")).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("value").alias("least"))
+
+
+# Pages --------------------------------------------------------------------
+
+
+def html_links(spark, d):
+    return links.html_links(_table(spark, d, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+
+
+def html_comments(spark, d):
+    return links.html_comments(_table(spark, d, "pages")).select("page_id", F.col("pos").cast("long").alias("pos"), "comment")
+
+
+def html_title_slug(spark, d):
+    head = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
+    ascii_only = F.regexp_replace(F.lower(head), r"[^a-z0-9 \-]", "")
+    return _table(spark, d, "pages").select("page_id", F.replace(ascii_only, F.lit(" "), F.lit("-")).alias("slug"))
+
+
+def link_target_missing(spark, d):
+    """Links whose path is no page's path."""
+    pages = _table(spark, d, "pages")
+    known = pages.select(F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1).alias("href")).distinct()
+    return html_links(spark, d).join(known, "href", "left_anti").groupBy("page_id").agg(F.count("*").alias("n_missing"))
+
+
+def url_parts(spark, d):
+    url = F.col("url")
+    parts = F.filter(F.split(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1), "/"), lambda p: p != "")
+    return _table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract(url, r"^https?://([^/?#]+)", 1)).alias("host"), F.size(parts).cast("long").alias("n_parts"), (F.size(parts) == 2).alias("root_like"))
+
+
+def percent_decode(spark, d):
+    """Encodes links and decodes them strictly; + stays, broken escapes are null."""
+    rows = html_links(spark, d)
+    return rows.select("page_id", "pos", T.percent_decoded(F.concat(F.replace("href", F.lit("a"), F.lit("%61")), F.lit("+b"))).alias("decoded"))
+
+
+def path_normalize(spark, d):
+    rows = html_links(spark, d)
+    written = F.concat(F.lit("docs/guide/.."), F.col("href"), F.lit("/./x/../y"))
+    return rows.select("page_id", "pos", T.normal_path(written).alias("path"))
+
+
+# Policy -------------------------------------------------------------------
+
+
+def last_match_wins_kind(spark, d):
+    mapping = [("^.*$", "other"), ("BRASS$|STEEL$", "reference"), ("^ECONOMY|^PROMO", "howto"), ("STEEL$", "adr")]
+    parts = _table(spark, d, "part")
+    return parts.select("p_partkey", policy.last_match(F.col("p_type"), mapping).alias("kind"))
+
+
+def rule_selection(spark, d):
+    files = _table(spark, d, "nation").select(F.col("n_name").alias("filename"), "n_regionkey")
+    rules = spark.createDataFrame([("LNK001", "LNK", True), ("LNK002", "LNK", False), ("STL001", "STL", False), ("KND001", "KND", True)], "code string, family string, stable boolean")
+    every = spark.createDataFrame([(0, "ALL", "select"), (1, "LNK", "select"), (1, "LNK001", "ignore"), (2, "LNK002", "select"), (2, "LNK", "ignore"), (3, "KND", "select"), (3, "KND", "ignore"), (4, "STL001", "select"), (4, "ALL", "select")], "region int, selector string, action string")
+    selectors = files.join(F.broadcast(every), F.col("n_regionkey") == F.col("region")).select("filename", "selector", "action")
+    return policy.selected_rules(files, rules, selectors)
+
+
+def suppression_winner(spark, d):
+    """Lines as diagnostics, orders' line ranges as suppressions, the tightest wins."""
+    lines = _table(spark, d, "lineitem")
+    points = lines.select(F.col("l_orderkey").alias("doc"), F.lit("A").alias("code"), F.col("l_linenumber").cast("long").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    orders = _table(spark, d, "orders")
+    span = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("start", "stop", "scope", "n"), strict=True)])
+    spans = F.array(span(0, 100, 1, 0), span(2, 6, 0, 1), span(3, 5, 0, 2))
+    records = orders.where(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("doc"), F.lit("A").alias("code"), F.inline(spans)).withColumn("record", F.col("n").cast("long"))
+    return policy.suppression_winner(points, records).select("id", "record")
+
+
+def stratified_sample(spark, d):
+    docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id")
+    return policy.stratified_sample(docs, ["lang", "quality"], ["doc_id"], 6).select("lang", "quality", "doc_id", F.col("place").cast("long").alias("place"))
+
+
+# Evaluation ---------------------------------------------------------------
+
+
+def _labelled(spark, d):
+    rows = _table(spark, d, "labels").join(_table(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    label = F.when(F.col("toxic") == 1, "uncertain").when(F.col("quality") == 1, "tp").otherwise("fp")
+    return rows.withColumn("label", label)
+
+
+def precision_by_group(spark, d):
+    rows = _labelled(spark, d)
+    rolled = evaluate.precision(rows, ["lang", "source"])
+    dims = rows.select("lang").distinct().join(rows.select("source").distinct(), F.lit(True))
+    return evaluate.with_empty_groups(rolled, dims, ["lang", "source"])
+
+
+def promotion_gate(spark, d):
+    return evaluate.gate(evaluate.precision(_labelled(spark, d), ["lang"]), 50, 0.6).select("lang", "tp", "fp", "uncertain", "promoted")
+
+
+def confusion_matrix(spark, d):
+    return evaluate.confusion(_table(spark, d, "labels"), "quality", "toxic")
+
+
+def reviewer_agreement(spark, d):
+    return evaluate.agreement(_labelled(spark, d), "quality", "toxic", ["lang"])
+
+
+def report_diff(spark, d):
+    orders = _table(spark, d, "orders")
+    before = orders.where(F.col("o_orderkey") % 7 != 0).select("o_orderkey", F.col("o_orderpriority").alias("v"))
+    after = orders.where(F.col("o_orderkey") % 5 != 0).select("o_orderkey", F.when(F.col("o_orderkey") % 11 == 0, "changed").otherwise(F.col("o_orderpriority")).alias("v"))
+    return evaluate.diff(before, after, ["o_orderkey"], "v")
+
+
+def multiset_diff(spark, d):
+    events = _table(spark, d, "events").select("event_id", "user_id", "event_type")
+    odd, even = events.where("event_id % 2 = 1"), events.where("event_id % 2 = 0")
+    return evaluate.introduced(odd, even, ["user_id", "event_type"], ["event_id"]).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+def noise_per_100(spark, d):
+    events = _table(spark, d, "events")
+    hits = events.where("event_type in ('error', 'signup')").select(F.col("event_type").alias("code"), "user_id")
+    return evaluate.noise(events, hits, "user_id")
+
+
+def cumulative_stop(spark, d):
+    lines = _table(spark, d, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return evaluate.cumulative_stop(lines, "month", "n", 5000).select("month", "n", "before")
+
+
+def corpus_rollup(spark, d):
+    docs = _table(spark, d, "documents")
+    return docs.groupingSets([["source", "lang"], ["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+# Reports ------------------------------------------------------------------
+
+
+def _diagnostics(spark, d):
+    lines = _table(spark, d, "lineitem").where("l_quantity >= 45")
+    return lines.select(
+        F.concat(F.lit("f"), F.col("l_suppkey")).alias("filename"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"),
+        F.col("l_orderkey").alias("end_row"), (F.col("l_linenumber") + 3).cast("long").alias("end_col"), F.concat("l_returnflag", "l_linestatus").alias("code"),
+        F.concat(F.lit("part, 100%: "), F.col("l_partkey")).alias("message"), F.array(F.lit("z"), F.col("l_returnflag")).alias("related"),
+    )
+
+
+def canonical_order_report(spark, d):
+    return report.concise(_diagnostics(spark, d)).select("line")
+
+
+def github_annotations(spark, d):
+    return report.github(_diagnostics(spark, d)).select("line")
+
+
+def sarif_rule_index(spark, d):
+    return report.rule_index(_diagnostics(spark, d))
+
+
+def diagnostic_statistics(spark, d):
+    return report.statistics(_diagnostics(spark, d))
+
+
+_BRUTE = """
+units AS (SELECT doc_id, lang, list_sort(list_distinct([c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4] FOR i IN range(1, len(c) - 3)])) AS s
+  FROM (SELECT doc_id, lang, string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '') AS c, text FROM documents)
+  WHERE length(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) >= 80 AND len(c) >= 12),
+heads AS (SELECT lang, min(doc_id) AS h, s, len(s) AS n FROM units WHERE len(s) >= 8 GROUP BY lang, s),
+tok AS (SELECT lang, h, n, unnest(s) AS t FROM heads),
+pairs AS (SELECT x.h AS a, y.h AS b, count(*) AS shared, any_value(x.n + y.n) - count(*) AS total
+  FROM tok x JOIN tok y ON x.lang = y.lang AND x.t = y.t AND x.h < y.h AND least(x.n, y.n) >= 0.9 * greatest(x.n, y.n) - 1e-9
+  GROUP BY x.h, y.h HAVING count(*) >= 0.9 * (any_value(x.n + y.n) - count(*)) - 1e-9)"""
+_OWNERS = _BRUTE + """,
+both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+ranks AS (SELECT d.doc_id, coalesce(l.quality * 2 - l.toxic, 0) AS r FROM documents d LEFT JOIN labels l USING (doc_id)),
+own AS (SELECT e.a AS unit, min(CASE WHEN y.r > x.r THEN e.b END) AS higher, min(CASE WHEN y.r = x.r THEN e.b END) AS tied
+  FROM both_ways e JOIN ranks x ON x.doc_id = e.a JOIN ranks y ON y.doc_id = e.b GROUP BY e.a)"""
+_SENTENCES = """
+parts AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([。！？])', '\\1' || chr(1), 'g'), '([.!?])(\\s|$)', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS p FROM documents),
+sent AS (SELECT doc_id, list_filter(list_transform(p, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '') AS s FROM parts)"""
+_CLEAN = """
+clean AS (SELECT page_id, url, html, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<textarea[^>]*>.*?</textarea\\s*>|<title[^>]*>.*?</title\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS c FROM pages),
+found AS (SELECT page_id, regexp_extract_all(c, '<a\\s+href="([^"]*)"', 1) AS l FROM clean),
+link AS (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS href FROM found)"""
+_DIAGNOSTICS = """
+d AS (SELECT 'f' || l_suppkey AS filename, l_orderkey AS row, CAST(l_linenumber AS BIGINT) AS col, l_orderkey AS end_row, CAST(l_linenumber + 3 AS BIGINT) AS end_col,
+  l_returnflag || l_linestatus AS code, 'part, 100%: ' || l_partkey AS message, l_returnflag AS r FROM lineitem WHERE l_quantity >= 45)"""
+_LABELLED = """
+r AS (SELECT l.*, d.lang, d.source, CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'tp' ELSE 'fp' END AS label FROM labels l JOIN documents d USING (doc_id))"""
+_COUNTS = "count(*) FILTER (label = 'tp') AS tp, count(*) FILTER (label = 'fp') AS fp, count(*) FILTER (label = 'uncertain') AS uncertain"
+
+ORACLE_SQL = {
+    "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM sent",
+    "line_table": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
+        u AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS c FROM l)
+        SELECT doc_id, line, CAST(coalesce(sum(strlen(c) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte, strlen(c) AS n_bytes FROM u""",
+    "detect_language": """WITH t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations),
+        c AS (SELECT origin, id, len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}\\x{ff66}-\\x{ff9f}]')) AS k, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{20000}-\\x{323af}]')) AS h, len(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM t)
+        SELECT origin, id, CASE WHEN k + h > w THEN CASE WHEN k > 0 THEN 'ja' ELSE 'zh' END ELSE 'en' END AS language FROM c""",
+    "shingle_stats": """WITH f AS (SELECT lang, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+        s AS (SELECT lang, text, string_split(t, '') AS c FROM f),
+        p AS (SELECT lang, CASE WHEN len(c) < 5 THEN 0 ELSE len(list_distinct([c[i] || c[i+1] || c[i+2] || c[i+3] || c[i+4] FOR i IN range(1, len(c) - 3)])) END AS n, length(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}]', '', 'g')) AS a FROM s)
+        SELECT lang, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_shingles, max(n) AS most, count(*) FILTER (a >= 80) AS n_units FROM p GROUP BY lang""",
+    "near_duplicate_documents": f"WITH {_BRUTE} SELECT a, b, shared, total FROM pairs",
+    "near_duplicate_owner": f"WITH {_OWNERS} SELECT unit, higher AS owner FROM own WHERE higher IS NOT NULL",
+    "ambiguous_owner": f"WITH {_OWNERS} SELECT unit, tied FROM own WHERE higher IS NULL AND tied IS NOT NULL",
+    "threshold_sweep": f"WITH {_BRUTE} SELECT t AS threshold, count(*) FILTER (shared >= t * total - 1e-9) AS n_pairs FROM pairs, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS t) GROUP BY t",
+    "exact_duplicates": "SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "containment_overlap": """WITH i AS (SELECT item_id AS item, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
+        d AS (SELECT doc_id AS unit, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),
+        j AS (SELECT item, len(w) AS size, unnest(w) AS t FROM i)
+        SELECT item, unit, count(*) AS shared, any_value(size) AS size FROM j JOIN d USING (t) GROUP BY item, unit HAVING count(*) >= 0.8 * any_value(size)""",
+    "marker_positions": """WITH m AS (SELECT doc_id, text, regexp_extract(' ' || lower(text), '^((?s).*?)[^\\p{L}\\p{N}_]the($|[^\\p{L}\\p{N}_])', 1) AS b, regexp_matches(' ' || lower(text), '[^\\p{L}\\p{N}_]the($|[^\\p{L}\\p{N}_])') AS y,
+          regexp_extract(' ' || lower(text), '^((?s).*?)[^\\p{L}\\p{N}_]of the($|[^\\p{L}\\p{N}_])', 1) AS c, regexp_matches(' ' || lower(text), '[^\\p{L}\\p{N}_]of the($|[^\\p{L}\\p{N}_])') AS z FROM documents)
+        SELECT doc_id, CASE WHEN z AND length(c) < length(b) THEN length(c) ELSE length(b) END AS start, CASE WHEN z AND length(c) < length(b) THEN length(c) + 6 ELSE length(b) + 3 END AS stop FROM m WHERE y""",
+    "conditional_sentences": f"WITH {_SENTENCES}, u AS (SELECT doc_id, unnest(s) AS x FROM sent) SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(lower(x), '(^|[^\\p{{L}}\\p{{N}}_])(was|with|of)($|[^\\p{{L}}\\p{{N}}_])')) AS n_hits FROM u GROUP BY doc_id",
+    "number_mentions": "WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)+')) AS v FROM documents) SELECT doc_id, count(*) AS n, min(v) AS least FROM u GROUP BY doc_id",
+    "html_links": f"WITH {_CLEAN} SELECT page_id, pos, href FROM link",
+    "html_comments": """WITH c AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<textarea[^>]*>.*?</textarea\\s*>|<title[^>]*>.*?</title\\s*>', '', 'g'), '(?s)<!--(.*?)-->', 1) AS l FROM pages)
+        SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS comment FROM c""",
+    "html_title_slug": "SELECT page_id, replace(regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^a-z0-9 \\-]', '', 'g'), ' ', '-') AS slug FROM pages",
+    "link_target_missing": f"WITH {_CLEAN}, k AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS href FROM pages) SELECT page_id, count(*) AS n_missing FROM link WHERE href NOT IN (SELECT href FROM k) GROUP BY page_id",
+    "url_parts": """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) AS n FROM pages)
+        SELECT page_id, host, n AS n_parts, n = 2 AS root_like FROM p""",
+    "percent_decode": f"WITH {_CLEAN} SELECT page_id, pos, href || '+b' AS decoded FROM link",
+    "path_normalize": f"WITH {_CLEAN} SELECT page_id, pos, 'docs/' || array_to_string(list_filter(string_split(href, '/'), lambda x: x <> '' AND x <> '.'), '/') || '/y' AS path FROM link",
+    "last_match_wins_kind": "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'adr' WHEN p_type LIKE 'ECONOMY%' OR p_type LIKE 'PROMO%' THEN 'howto' WHEN p_type LIKE '%BRASS' THEN 'reference' ELSE 'other' END AS kind FROM part",
+    "rule_selection": """WITH rules(code, family, stable) AS (VALUES ('LNK001', 'LNK', true), ('LNK002', 'LNK', false), ('STL001', 'STL', false), ('KND001', 'KND', true)),
+        sel(region, selector, action) AS (VALUES (0, 'ALL', 'select'), (1, 'LNK', 'select'), (1, 'LNK001', 'ignore'), (2, 'LNK002', 'select'), (2, 'LNK', 'ignore'), (3, 'KND', 'select'), (3, 'KND', 'ignore'), (4, 'STL001', 'select'), (4, 'ALL', 'select')),
+        s AS (SELECT n_name AS filename, code, stable, action, CASE selector WHEN code THEN 2 WHEN family THEN 1 WHEN 'ALL' THEN 0 END AS s FROM nation JOIN sel ON n_regionkey = region CROSS JOIN rules),
+        b AS (SELECT filename, code, stable, max(s) FILTER (action = 'select') AS w, max(s) FILTER (action = 'ignore') AS i FROM s WHERE s IS NOT NULL GROUP BY ALL)
+        SELECT filename, code FROM b WHERE w > coalesce(i, -1) AND (stable OR w = 2)""",
+    "suppression_winner": """SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE WHEN l_linenumber >= 3 AND l_linenumber < 5 THEN 2 WHEN l_linenumber >= 2 AND l_linenumber < 6 THEN 1 ELSE 0 END AS BIGINT) AS record
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0 GROUP BY ALL""",
+    "stratified_sample": "SELECT lang, quality, doc_id, place FROM (SELECT lang, quality, doc_id, row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id)) WHERE place <= 6",
+    "precision_by_group": f"""WITH {_LABELLED}, g AS (SELECT lang, source, {_COUNTS} FROM r GROUP BY lang, source),
+        x AS (SELECT * FROM (SELECT DISTINCT lang FROM r) CROSS JOIN (SELECT DISTINCT source FROM r))
+        SELECT x.lang, x.source, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, coalesce(uncertain, 0) AS uncertain, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision,
+          CASE WHEN tp + fp + uncertain > 0 THEN round(tp / (tp + fp + uncertain), 6) END AS conservative FROM x LEFT JOIN g USING (lang, source)""",
+    "promotion_gate": f"WITH {_LABELLED}, g AS (SELECT lang, {_COUNTS} FROM r GROUP BY lang) SELECT lang, tp, fp, uncertain, tp + fp + uncertain >= 50 AND round(tp / (tp + fp + uncertain), 6) >= 0.6 AS promoted FROM g",
+    "confusion_matrix": "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY ALL",
+    "reviewer_agreement": f"WITH {_LABELLED} SELECT lang, count(*) AS n, round(count(*) FILTER (quality = toxic) / count(*), 6) AS agreement FROM r GROUP BY lang",
+    "report_diff": """WITH b AS (SELECT o_orderkey, o_orderpriority AS o FROM orders WHERE o_orderkey % 7 <> 0),
+        a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'changed' ELSE o_orderpriority END AS n FROM orders WHERE o_orderkey % 5 <> 0)
+        SELECT o_orderkey, CASE WHEN b.o IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' ELSE 'changed' END AS change, b.o AS old, a.n AS new FROM b FULL JOIN a USING (o_orderkey) WHERE b.o IS DISTINCT FROM a.n""",
+    "multiset_diff": "SELECT user_id, event_type, count(*) AS n FROM (SELECT user_id, event_type FROM events WHERE event_id % 2 = 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 2 = 1) GROUP BY ALL",
+    "noise_per_100": "WITH t AS (SELECT count(DISTINCT user_id) AS n FROM events) SELECT event_type AS code, count(DISTINCT user_id) AS blocked, any_value(n) AS changes, round(100 * count(DISTINCT user_id) / any_value(n), 6) AS per_100 FROM events, t WHERE event_type IN ('error', 'signup') GROUP BY event_type",
+    "cumulative_stop": """WITH m AS (SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n FROM lineitem GROUP BY 1),
+        c AS (SELECT month, n, CAST(coalesce(sum(n) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM m) SELECT month, n, before FROM c WHERE before < 5000""",
+    "corpus_rollup": "SELECT source, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY GROUPING SETS ((source, lang), (source), (lang), ())",
+    "canonical_order_report": f"WITH {_DIAGNOSTICS} SELECT filename || ':' || row || ':' || col || ': ' || code || ' ' || message || ' [' || r || ', z]' AS line FROM d",
+    "github_annotations": f"WITH {_DIAGNOSTICS} SELECT '::error file=' || filename || ',line=' || row || ',endLine=' || end_row || ',col=' || col || ',endColumn=' || (end_col - 1) || ',title=' || code || '::' || replace(message, '%', '%25') AS line FROM d",
+    "sarif_rule_index": f"WITH {_DIAGNOSTICS} SELECT code, count(*) AS n, dense_rank() OVER (ORDER BY code) - 1 AS rule_index FROM d GROUP BY code",
+    "diagnostic_statistics": f"WITH {_DIAGNOSTICS} SELECT code, count(*) AS n FROM d GROUP BY code",
+}
+QUERIES = {name: globals()[name] for name in ORACLE_SQL}
