@@ -91,8 +91,8 @@ def alphanumerics(text: Column) -> Column:
 
 
 def shingles(text: Column, k: int) -> Column:
-    """Distinct runs of k characters."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
+    """Distinct runs of k characters; a match may not start inside a surrogate pair."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def percent_decoded(text: Column) -> Column:

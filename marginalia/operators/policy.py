@@ -82,7 +82,7 @@ def directives(comments: DataFrame, comment: str = "comment") -> DataFrame:
     scope = F.regexp_extract(c, r"^(allow-file|allow)\b", 1)
     body = F.regexp_extract(c, r"^(?:allow-file|allow)\s+(.*?)(?:\s+--\s*(.*))?$", 1)
     reason = F.regexp_extract(c, r"\s--\s*(.*)$", 1)
-    codes = F.transform(F.split(body, ","), F.trim)
+    codes = F.transform(F.split(body, ","), lambda x: F.trim(x))
     wrong = (
         F.when(body == "", "missing code").when(F.exists(codes, lambda x: ~x.rlike(r"^[A-Z]{3}[0-9]{3}$")), "malformed code")
         .when(F.size(F.array_distinct(codes)) < F.size(codes), "repeated code").when(reason == "", "missing reason")
