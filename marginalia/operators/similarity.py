@@ -17,7 +17,7 @@ def classes(units: DataFrame, block: list[str] | None = None) -> tuple[DataFrame
     ``units`` has (unit: orderable, tokens: array, and the block columns).
     """
     block = block or []
-    units = units.withColumn("tokens", F.array_sort(F.array_distinct("tokens"))).where(F.size("tokens") > 0)
+    units = units.withColumn("tokens", F.sort_array(F.array_distinct("tokens"))).where(F.size("tokens") > 0)
     # Two hashes name a set.
     units = units.withColumn("sets", F.struct(F.xxhash64("tokens").alias("x"), F.xxhash64(F.lit(1), "tokens").alias("y")))
     heads = units.groupBy(*block, "sets").agg(F.min("unit").alias("head"), F.first("tokens").alias("tokens"))
@@ -36,7 +36,7 @@ def similar_pairs(heads: DataFrame, threshold: float, block: list[str] | None =
     heads = heads.persist(StorageLevel.MEMORY_AND_DISK)
     long = heads.select(*block, "head", "n", F.explode("tokens").alias("token"))
     frequency = long.groupBy(*block, "token").agg(F.count("*").alias("df"))
-    ranked = long.join(frequency, [*block, "token"]).groupBy(*block, "head", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = long.join(frequency, [*block, "token"]).groupBy(*block, "head", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
     prefix = ranked.select(*block, "head", "n", F.explode(F.slice("order", F.lit(1), prefix_length(F.col("n"), F.lit(threshold)).cast("int"))).alias("o"))
     prefix = prefix.where("o.df > 1").select(*block, "head", "n", F.col("o.token").alias("token"))
     right = prefix.select(*block, "token", F.col("head").alias("other"), F.col("n").alias("m"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a few files or row groups to all cores; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # Text ---------------------------------------------------------------------
 
 
@@ -45,9 +52,11 @@ def shingle_stats(spark, d):
 
 
 def _document_heads(spark, d):
-    docs = _table(spark, d, "documents")
+    docs = _spread(_table(spark, d, "documents").select("doc_id", "lang", "text"))
     hashed = F.transform(T.shingles(T.folded(F.col("text")), 5), lambda s: F.xxhash64(s))
     units = docs.where(T.alphanumerics(F.col("text")) >= 80).select(F.col("doc_id").alias("unit"), "lang", hashed.alias("tokens"))
+    # Held, so that no filter repeats the shingling.
+    units = units.persist(StorageLevel.MEMORY_AND_DISK)
     return similarity.classes(units.where(F.size("tokens") >= 8), ["lang"])
 
 
