@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back."""
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
+
+    ``release`` also frees the shuffle files behind it now: Spark deletes them
+    once the driver's garbage collector has seen that nothing refers to them.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path).withMetadata(df.columns[0], {"path": path}) if df.columns else df
 
 

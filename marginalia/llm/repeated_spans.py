@@ -4,9 +4,10 @@ Each k-word window is an edge between its first and last k-1 words. A window
 is named by its minimiser too, the least of the hashes of its sub-windows:
 equal windows have equal minimisers, and neighbours mostly share theirs.
 
-1. Minimisers that two documents hold are found from fingerprints, packed per
-   task and bucket; a task sends at most two of each, however hot it is. A
-   fingerprint shared by chance only costs work.
+0. Of documents with the same words throughout, all but the first lose all
+   windows; they take no part in what follows.
+1. Minimisers that two documents hold are found from hashes packed per task
+   and bucket; a task sends at most two of each, however hot it is.
 2. Documents join those minimisers, and their windows over one occurrence of a
    shared minimiser compact into a path: a run of edges without a branch.
 3. Paths join on their content. All but the first document's path are removed
@@ -39,8 +40,8 @@ from . import common
 from .bodies import row_name, shared_values, unzipped, zipped
 from .words import _INVERSE, _PRIME, Words, buffers, grams, mix, powers, slices, words
 
-#: Words of a minimiser.
-SUB = 6
+#: Words of a minimiser: many enough that few are shared by chance.
+SUB = 8
 _PATHS = "m long, path long, n int, key long, row long, start int, edges binary"
 _DONE = "key long, row long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>"
 
@@ -196,23 +197,35 @@ def _whole(texts: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame, k: int = 13, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_words, n_removed, kept_sha256, spans): spans of words that a smaller id's document holds."""
     texts = _texts(docs, text, key)
+    whole = common.written(_whole(texts), "whole")
+    least = whole.where(F.col("n_words") >= k).groupBy("whole").agg(F.min("key").alias("least"))
+    whole = common.written(whole.join(least, "whole", "left").withColumn("copy", F.coalesce(F.col("key") > F.col("least"), F.lit(False))).drop("least"), "whole")
+    copies = whole.groupBy("key").agg(F.min("copy").alias("copy")).where("copy").select("key")
     shared = shared_minimisers(texts, k)
     held = _minimisers(texts, k).join(shared, "m").groupBy("key").agg(F.collect_list("m").alias("shared"))
-    bodies = zipped(texts.where("key is not null")).join(held, "key")
-    bodies = common.written(bodies, "bodies")
-    paths = common.written(_paths(bodies, k), "paths")
+    bodies = zipped(texts.where("key is not null")).join(held.join(copies, "key", "left_anti"), "key")
+    bodies = common.written(bodies, "bodies", release=True)
+    paths = common.written(_paths(bodies, k), "paths", release=True)
     content = ["m", "path", "n"]
     first = paths.groupBy(*content).agg(F.min("key").alias("least"))
     settled = paths.join(first, content)
+    settled = common.written(settled, "settled", release=True)
+    common.forget(paths)
     repeats = settled.where("key > least").select("key", "row", "start", (F.col("start") + F.col("n") + (k - 1)).alias("end"))
     edges = _edges(settled.where("key = least"))
     least = edges.groupBy("m", "edge").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most")
     partial = edges.join(least, ["m", "edge"]).where("key > least").select("key", "row", "start", (F.col("start") + k).alias("end"))
     spans = repeats.unionByName(partial).groupBy("key", "row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = common.written(spans, "spans", release=True)
+    common.forget(settled)
     cut = _cut(bodies.drop("shared").join(spans, ["key", "row"])).dropDuplicates(["key", "row"])
-    out = _whole(texts).join(cut, ["key", "row"], "left")
+    out = whole.join(cut, ["key", "row"], "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
+    every = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
-        F.col("key").alias(key), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("kept_sha256", "whole").alias("kept_sha256"), F.coalesce("spans", none).alias("spans"),
+        F.col("key").alias(key), "n_words",
+        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(F.col("copy"), nothing).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"),
+        F.when(F.col("copy"), every).otherwise(F.coalesce("spans", none)).alias("spans"),
     )
