@@ -203,6 +203,7 @@ def deduplicate(docs: DataFrame, k: int = 13, text: str = "text", key: str = "do
     copies = whole.groupBy("key").agg(F.min("copy").alias("copy")).where("copy").select("key")
     shared = shared_minimisers(texts, k)
     held = _minimisers(texts, k).join(shared, "m").groupBy("key").agg(F.collect_list("m").alias("shared"))
+    held = common.written(held, "held", release=True)
     bodies = zipped(texts.where("key is not null")).join(held.join(copies, "key", "left_anti"), "key")
     bodies = common.written(bodies, "bodies", release=True)
     paths = common.written(_paths(bodies, k), "paths", release=True)
