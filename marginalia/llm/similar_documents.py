@@ -12,8 +12,9 @@ prefix token under every order before it is verified.
    pairs; pairs whose sizes already rule a link out are left out.
 2. The other orders' prefixes of those pairs are intersected.
 3. What remains is verified on whole sets.
-A long list is one of near copies, or of texts made of common passages. It
-gives no pairs: lists that overlap form a cluster, the cluster is cut into
+A list longer than any token outside the hottest could make is one of near
+copies, or of texts made of common passages. It gives no pairs: lists that
+overlap form a cluster, the cluster is cut into bands of like size and
 blocks, and blocks are compared with blocks, keeping only links that connect
 something new. So a group of any size costs rows in proportion to its blocks,
 and no link between unconnected classes is lost.
@@ -39,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .bodies import shared_values, unzipped, zipped
 from .words import grams, mix, slices, words
 
 HOT_TOKENS = 1 << 17
 HOT_IN_TASK = 4
-#: Longest list of classes whose pairs become rows.
-LIST = 32
+#: Lists of so many classes give pairs, whatever the hottest tokens are.
+LIST = 8
 #: Classes of a block of a cluster.
 BLOCK = 256
 #: Seeds of the token orders.
@@ -98,15 +100,6 @@ def prefix_mask(g: np.ndarray, first: np.ndarray, seed: int, hot: np.ndarray, pe
     return mask
 
 
-def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
-
-
-def _bytes(values: np.ndarray, first: np.ndarray) -> pa.Array:
-    offsets = pa.array((first * 8).astype(np.int32)).buffers()[1]
-    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(values).tobytes())])
-
-
 def classes(docs: DataFrame, n: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_shingles, class): documents with equal sets share a class, a 64-bit digest."""
 
@@ -119,8 +112,8 @@ def classes(docs: DataFrame, n: int = 4, text: str = "text", key: str = "doc_id"
     return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, class long")
 
 
-def hot_tokens(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
-    """The tokens with the most documents, at most HOT_TOKENS of them, sorted."""
+def hot_tokens(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, int]:
+    """The tokens with the most documents, at most HOT_TOKENS of them, sorted; and the least count among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -157,75 +150,96 @@ def hot_tokens(docs: DataFrame, n: int, text: str = "text") -> np.ndarray:
             break
         room, share = room - row["count"], 1.0
     if least is None:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), 0
     taken = top.where((level > least) | ((level == least) & (F.pmod(F.xxhash64("token"), F.lit(1000)) < 1000 * share)))
-    return np.sort(np.array(taken.select("token").limit(HOT_TOKENS).toPandas()["token"], np.int64).view(np.uint64))
+    return np.sort(np.array(taken.select("token").limit(HOT_TOKENS).toPandas()["token"], np.int64).view(np.uint64)), int(2 ** (least / 16))
+
 
+def _first_prefix(s: pa.RecordBatch, n: int, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix tokens of a slice under the first order with their classes, each class once."""
+    g, first = shingle_sets(s.column(s.schema.get_field_index("text")), n)
+    digest, sizes = set_digests(g, first), np.diff(first)
+    _, once = np.unique(digest, return_index=True)
+    fresh = np.zeros(len(sizes), bool)
+    fresh[once] = True
+    mask = prefix_mask(g, first, ORDERS[0], hot, percent) & np.repeat(fresh, sizes)
+    return g[mask], np.repeat(digest, sizes)[mask]
 
-def _prefixes(docs: DataFrame, n: int, hot, percent: int, text: str) -> DataFrame:
-    """Rows (token, class, n): the first order's prefix of each document, once for each class and slice."""
+
+def _prefixes(texts: DataFrame, n: int, hot, percent: int) -> DataFrame:
+    """Rows (token, class): the first order's prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in slices(b):
-                g, first = shingle_sets(s.column(0), n)
-                digest, sizes = set_digests(g, first), np.diff(first)
-                mask = prefix_mask(g, first, ORDERS[0], hot.value, percent)
-                _, once = np.unique(digest, return_index=True)
-                fresh = np.zeros(len(sizes), bool)
-                fresh[once] = True
-                mask &= np.repeat(fresh, sizes)
-                yield pa.record_batch(
-                    [pa.array(g[mask].view(np.int64)), pa.array(np.repeat(digest, sizes)[mask]), pa.array(np.repeat(sizes, sizes)[mask].astype(np.int32))],
-                    ["token", "class", "n"],
-                )
+                g, digest = _first_prefix(s, n, hot.value, percent)
+                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(digest)], ["token", "class"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, class long, n int")
+    return texts.select("text").mapInArrow(run, "token long, class long")
 
 
-def _sets(docs: DataFrame, n: int, hot, percent: int, text: str) -> DataFrame:
-    """Rows (class, n, tokens, p1, p2): whole sets, and their prefixes under the other orders."""
+def _own(bodies: DataFrame, n: int) -> DataFrame:
+    """Rows (class, body) whose body is of that class: an id may have other texts too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b):
-                g, first = shingle_sets(s.column(1), n)
-                own = pa.array(set_digests(g, first) == np.asarray(s.column(0)))  # an id may have other texts
-                columns = [s.column(0), pa.array(np.diff(first).astype(np.int32)), _bytes(g, first)]
-                for seed in ORDERS[1:]:
-                    mask = prefix_mask(g, first, seed, hot.value, percent)
-                    reach = np.concatenate([[0], np.cumsum(mask)])
-                    columns.append(_lists(g[mask], reach[first]))
-                yield pa.record_batch(columns, ["class", "n", "tokens", "p1", "p2"]).filter(own)
+            at = 0
+            for s in unzipped(b):
+                own = pa.array(set_digests(*shingle_sets(s.column(1), n)) == np.asarray(s.column(0)))
+                yield b.slice(at, s.num_rows).filter(own)
+                at += s.num_rows
+
+    return bodies.select("class", "body").mapInArrow(run, "class long, body binary")
 
-    return docs.select("class", F.col(text).alias("text")).mapInArrow(run, "class long, n int, tokens binary, p1 array<long>, p2 array<long>")
 
+def _sets(names: list[int], bodies: list[bytes], n: int) -> dict[int, np.ndarray]:
+    """The sets of compressed texts, each name's once. A text is a third of its set's size in a shuffle."""
+    import zstandard
 
-def _overlap(a: bytes, b: bytes) -> int:
-    return len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True))
+    expand = zstandard.ZstdDecompressor().decompress
+    once = dict(zip(names, bodies, strict=True))
+    texts = pa.array([expand(x) for x in once.values()], pa.binary()).cast(pa.string())
+    found: list[np.ndarray] = []
+    for s in slices(pa.record_batch([texts], ["text"])):
+        g, first = shingle_sets(s.column(0), n)
+        found += [g[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return dict(zip(once, found, strict=True))
 
 
-def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs with both sets."""
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _verified(pairs: DataFrame, hot, n: int, percent: int) -> DataFrame:
+    """Links (a, b) among candidates (a, b, x, y): prefixes of the other orders are intersected, then whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                common_ = _overlap(x, y)
-                keep.append(100 * common_ >= percent * (len(x) // 8 + len(y) // 8 - common_))
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                names = [c.to_pylist() for c in b.columns[:2]]
+                sets = _sets(names[0] + names[1], b.column(2).to_pylist() + b.column(3).to_pylist(), n)
+                first = np.concatenate([[0], np.cumsum([len(v) for v in sets.values()])])
+                every = np.concatenate(list(sets.values()))
+                place = {c: slice(i, j) for c, i, j in zip(sets, first[:-1].tolist(), first[1:].tolist(), strict=True)}
+                masks = [prefix_mask(every, first, seed, hot.value, percent) for seed in ORDERS[1:]]
+                keep = []
+                for x, y in zip((place[c] for c in names[0]), (place[c] for c in names[1]), strict=True):
+                    met = all(len(np.intersect1d(every[x][m[x]], every[y][m[y]], assume_unique=True)) for m in masks)
+                    keep.append(met and _linked(every[x], every[y], percent))
+                yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_links(classes_: list[int], sets: list[bytes], side: list[int], percent: int) -> list[tuple[int, int]]:
+def block_links(classes_: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
     """Links that connect the members of two blocks (sides 0 and 1, or one block alone), as a forest.
 
     Overlaps of a strip of members with all others are counted through the
     sorted tokens; members already connected are not linked again.
     """
-    values = [np.frombuffer(s, np.uint64) for s in sets]
+    values = sets
     sizes = np.array([len(v) for v in values])
     tokens = np.concatenate(values)
     owner = np.repeat(np.arange(len(values)), sizes)
@@ -259,58 +273,77 @@ def block_links(classes_: list[int], sets: list[bytes], side: list[int], percent
     return links
 
 
-def _cluster_links(members: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters; ``members`` has (cluster, class, n, tokens)."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    dealt = members.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+def _cluster_links(members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links within clusters; ``members`` has (cluster, class, n, body).
+
+    Members are dealt to bands by size, so that a link stays in a band or
+    joins neighbours, and bands are cut into blocks. Blocks of a band meet each
+    other and those of the next band.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
+    members = members.withColumn("band", band)
+    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    beside = [sizes.select("cluster", (F.col("band") + d).alias("band"), F.col("blocks").alias(n)) for d, n in ((0, "blocks"), (-1, "above"), (1, "below"))]
+    dealt = members.join(beside[0], ["cluster", "band"])
+    for other in beside[1:]:
+        dealt = dealt.join(other, ["cluster", "band"], "left")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    # Each block meets itself and every other block once: (i, j) with i <= j.
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    dealt = dealt.withColumn("meet", F.explode(others))
-    dealt = dealt.select("cluster", "meet.i", "meet.j", (F.col("block") == F.col("meet.j")).cast("int").alias("second"), "class", "tokens")
+
+    def upto(n: str) -> F.Column:
+        return F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def meet(low: F.Column, i: F.Column, step: int, j: F.Column) -> F.Column:
+        return F.struct(low.alias("low"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"))
+
+    block = F.col("block")
+    own = F.transform(upto("blocks"), lambda o: meet(F.col("band"), F.least(block, o), 0, F.greatest(block, o)))
+    above = F.transform(upto("above"), lambda o: meet(F.col("band"), block, 1, o))
+    below = F.transform(upto("below"), lambda o: meet(F.col("band") - 1, o, 1, block))
+    dealt = dealt.withColumn("meet", F.explode(F.concat(own, above, below)))
+    second = F.when(F.col("meet.step") == 1, F.col("band") != F.col("meet.low")).otherwise(block != F.col("meet.i"))
+    dealt = dealt.select("cluster", "meet.*", second.cast("int").alias("second"), "class", "body")
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        alone = group["i"][0].as_py() == group["j"][0].as_py()
-        side = [0] * group.num_rows if alone else group["second"].to_pylist()
-        links = block_links(group["class"].to_pylist(), group["tokens"].to_pylist(), side, percent)
+        names = group["class"].to_pylist()
+        sets = _sets(names, group["body"].to_pylist(), n)
+        links = block_links(names, [sets[c] for c in names], group["second"].to_pylist(), percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("cluster", "low", "i", "step", "j").applyInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_shingles, component_id): the smallest key that links reach from each row."""
     spark = docs.sparkSession
+    texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     kept = common.written(classes(docs, n, text, key), "classes")
-    hot = spark.sparkContext.broadcast(hot_tokens(docs, n, text))
-    prefixes = _prefixes(docs, n, hot, percent, text)
-    # Lists of two classes or more; the count is summed before the shuffle.
-    shared = prefixes.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"))
-    shared = shared.where("least <> most").select("token")
-    rows = common.written(prefixes.join(shared, "token").dropDuplicates(["token", "class"]), "lists")
-    lengths = rows.groupBy("token").agg(F.count("*").alias("length"), F.min("class").alias("pivot"))
-    rows = common.written(rows.join(lengths, "token"), "lengths")
-    short = rows.where(F.col("length") <= LIST).select("token", "class", "n")
-    other = short.select("token", F.col("class").alias("b"), F.col("n").alias("m"))
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") < F.col("b"))
-    pairs = common.written(short.join(other, "token").where(fits).select(F.col("class").alias("a"), "b").distinct(), "pairs")
-    long = rows.where((F.col("length") > LIST) & (F.col("class") != F.col("pivot"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
+    found, least = hot_tokens(docs, n, text)
+    hot = spark.sparkContext.broadcast(found)
+    shared = shared_values(texts, lambda s: np.sort(_first_prefix(s, n, hot.value, percent)[0]), "token")
+    rows = _prefixes(texts, n, hot, percent).join(shared, "token").dropDuplicates(["token", "class"])
+    rows = common.written(rows, "lists", release=True)
+    lengths = rows.groupBy("token").agg(F.count("*").alias("length"), F.min("class").alias("pivot")).where("length > 1")
+    sizes = kept.select("class", F.col("n_shingles").alias("n")).distinct()
+    rows = common.written(rows.join(lengths, "token").join(sizes, "class"), "lengths", release=True)
+    limit = max(LIST, least)
+    long = rows.where((F.col("length") > limit) & (F.col("class") != F.col("pivot"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
     clusters = common.components(long, "clusters").withColumnRenamed("component", "cluster").withColumnRenamed("node", "class")
     clusters = common.written(clusters, "clusters")
+    # Pairs of one cluster are left to the cluster.
+    short = rows.where(F.col("length") <= limit).join(clusters, "class", "left").select("token", "class", "n", "cluster")
+    other = short.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("cluster").alias("d"))
+    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") < F.col("b"))
+    apart = ~F.coalesce(F.col("cluster") == F.col("d"), F.lit(False))
+    pairs = common.written(short.join(other, "token").where(fits & apart).select(F.col("class").alias("a"), "b").distinct(), "pairs", release=True)
     # Sets of the classes that are in a pair or a cluster, each read from its first document.
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(clusters.select("class")).distinct()
-    chosen = kept.groupBy("class").agg(F.min_by("key", F.struct(F.col("key").isNull(), "key")).alias("key")).join(wanted, "class")
-    bodies = docs.select(F.col(key).cast("long").alias("at"), F.col(text).alias("text"))
-    bodies = bodies.join(chosen.hint("shuffle_hash"), F.col("at").eqNullSafe(F.col("key"))).select("class", "text")
-    sets = common.written(_sets(bodies, n, hot, percent, text), "sets")
-    x = sets.select(F.col("class").alias("a"), F.col("p1").alias("a1"), F.col("p2").alias("a2"))
-    y = sets.select(F.col("class").alias("b"), F.col("p1").alias("b1"), F.col("p2").alias("b2"))
-    ordered = pairs.join(x, "a").join(y, "b").where(F.arrays_overlap("a1", "b1") & F.arrays_overlap("a2", "b2")).select("a", "b")
-    x = sets.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
-    y = sets.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    links = _verified(ordered.join(x, "a").join(y, "b"), percent)
-    links = links.unionByName(_cluster_links(clusters.join(sets, "class"), percent))
+    chosen = kept.groupBy("class").agg(F.min_by("key", F.struct(F.col("key").isNull(), "key")).alias("at")).join(wanted, "class")
+    bodies = zipped(texts).join(chosen.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("at")))
+    bodies = common.written(_own(bodies, n), "bodies", release=True)
+    x = bodies.select(F.col("class").alias("a"), F.col("body").alias("x"))
+    y = bodies.select(F.col("class").alias("b"), F.col("body").alias("y"))
+    links = common.written(_verified(pairs.join(x, "a").join(y, "b"), hot, n, percent), "links", release=True)
+    links = links.unionByName(_cluster_links(clusters.join(bodies, "class").join(sizes, "class"), n, percent))
     linked = common.components(links, "links").withColumnRenamed("node", "class")
     grouped = kept.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
     names = grouped.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("component_id"))
