@@ -65,9 +65,14 @@ def cumulative_stop(batches: DataFrame, order: str, count: str, stop: int) -> Da
     return batches.withColumn("before", before.cast("long")).where(F.col("before") < stop)
 
 
-def sweep(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Pairs at or above each threshold; the thresholds are a parameter, and rows are folded before they meet."""
-    counts = [F.count_if(F.col("shared") >= F.lit(t) * F.col("total") - 1e-9).alias(str(i)) for i, t in enumerate(thresholds)]
+def sweep(pairs: DataFrame, thresholds: list[float], weight: str | None = None) -> DataFrame:
+    """Pairs at or above each threshold; the thresholds are a parameter, and rows are folded before they meet.
+
+    A row counts as many times as its ``weight`` says, if one is named.
+    """
+    each = F.col(weight) if weight else F.lit(1)
+    counts = [F.sum(F.when(F.col("shared") >= F.lit(t) * F.col("total") - 1e-9, each).otherwise(0)) for t in thresholds]
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(str(i)) for i, c in enumerate(counts)]
     wide = pairs.agg(*counts)
     rows = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(i)).alias("n_pairs")) for i, t in enumerate(thresholds)])
     return wide.select(F.inline(rows))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -66,6 +66,29 @@ def owners(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
     )
 
 
+def class_owners(pairs: DataFrame, members: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Rows (unit, higher, tied) like ``owners``, for every member of the classes that ``pairs`` links.
+
+    A member's partners are the others of its class and all members of the
+    classes that its own is paired with. A class meets others as its smallest
+    id of each rank, so no pair of members is ever a row. Members without a
+    partner have neither owner.
+    """
+    ranked = members.select("head", "unit").distinct().join(ranks, "unit")
+    first = ranked.groupBy("head", "rank").agg(F.min("unit").alias("first"))
+    second = ranked.join(first, ["head", "rank"]).where(F.col("unit") > F.col("first")).groupBy("head", "rank").agg(F.min("unit").alias("second"))
+    own = first.join(second, ["head", "rank"], "left")
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = both.unionByName(first.select(F.col("head").alias("a"), F.col("head").alias("b")).distinct())
+    met = both.join(first.withColumnRenamed("head", "b"), "b").groupBy(F.col("a").alias("head"), "rank")
+    met = met.agg(F.min("first").alias("least"), F.min(F.when(F.col("a") != F.col("b"), F.col("first"))).alias("outer"))
+    above = Window.partitionBy("head").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("higher", F.min("least").over(above))
+    inner = F.when(F.col("unit") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    rows = ranked.join(own, ["head", "rank"]).join(met, ["head", "rank"])
+    return rows.select("unit", "higher", F.least("outer", inner).alias("tied"))
+
+
 def containment(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
     """Rows (item, unit, shared, size) where a unit holds a share of an item's tokens.
 

@@ -84,6 +84,39 @@ def threshold_sweep(spark, d):
     return evaluate.sweep(near_duplicate_documents(spark, d), [0.9, 0.95, 0.99])
 
 
+# The queries above work on the smallest document of each class of equal shingle
+# sets, as their SQL does; those below on all of its members.
+
+
+def near_duplicate_members(spark, d):
+    """Every unit and the head that stands for it in ``near_duplicate_documents``."""
+    return _document_heads(spark, d)[1].select("unit", "head")
+
+
+def _member_owners(spark, d):
+    heads, members = _document_heads(spark, d)
+    return similarity.class_owners(similarity.similar_pairs(heads, 0.9, ["lang"]), members, _ranks(spark, d))
+
+
+def near_duplicate_member_owner(spark, d):
+    return _member_owners(spark, d).where("higher is not null").select("unit", F.col("higher").alias("owner"))
+
+
+def ambiguous_member_owner(spark, d):
+    return _member_owners(spark, d).where("higher is null and tied is not null").select("unit", "tied")
+
+
+def member_threshold_sweep(spark, d):
+    """Pairs of members at each threshold; those of one class are alike in full."""
+    heads, members = _document_heads(spark, d)
+    pairs = similarity.similar_pairs(heads, 0.9, ["lang"])
+    sizes = members.groupBy("head").agg(F.count_distinct("unit").alias("size"))
+    across = pairs.join(sizes.select(F.col("head").alias("a"), F.col("size").alias("m")), "a").join(sizes.select(F.col("head").alias("b"), F.col("size").alias("n")), "b")
+    across = across.select("shared", "total", (F.col("m") * F.col("n")).alias("weight"))
+    within = sizes.select(F.lit(1).cast("long").alias("shared"), F.lit(1).cast("long").alias("total"), F.expr("size * (size - 1) div 2").alias("weight"))
+    return evaluate.sweep(across.unionByName(within), [0.9, 0.95, 0.99], "weight")
+
+
 def exact_duplicates(spark, d):
     docs = _table(spark, d, "documents")
     rows = docs.groupBy(F.sha2("text", 256).alias("content")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"))
@@ -289,6 +322,15 @@ pairs AS (SELECT x.h AS a, y.h AS b, count(*) AS shared, any_value(x.n + y.n) -
 _OWNERS = _BRUTE + """,
 both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 ranks AS (SELECT d.doc_id, coalesce(l.quality * 2 - l.toxic, 0) AS r FROM documents d LEFT JOIN labels l USING (doc_id)),
+own AS (SELECT e.a AS unit, min(CASE WHEN y.r > x.r THEN e.b END) AS higher, min(CASE WHEN y.r = x.r THEN e.b END) AS tied
+  FROM both_ways e JOIN ranks x ON x.doc_id = e.a JOIN ranks y ON y.doc_id = e.b GROUP BY e.a)"""
+_MEMBERS = _BRUTE + """,
+members AS (SELECT doc_id AS unit, min(doc_id) OVER (PARTITION BY lang, s) AS head FROM units WHERE len(s) >= 8),
+member_pairs AS (SELECT x.unit AS a, y.unit AS b, shared, total FROM pairs p JOIN members x ON x.head = p.a JOIN members y ON y.head = p.b
+  UNION ALL SELECT x.unit, y.unit, 1, 1 FROM members x JOIN members y ON x.head = y.head AND x.unit < y.unit)"""
+_MEMBER_OWNERS = _MEMBERS + """,
+both_ways AS (SELECT a, b FROM member_pairs UNION ALL SELECT b, a FROM member_pairs),
+ranks AS (SELECT d.doc_id, coalesce(l.quality * 2 - l.toxic, 0) AS r FROM documents d LEFT JOIN labels l USING (doc_id)),
 own AS (SELECT e.a AS unit, min(CASE WHEN y.r > x.r THEN e.b END) AS higher, min(CASE WHEN y.r = x.r THEN e.b END) AS tied
   FROM both_ways e JOIN ranks x ON x.doc_id = e.a JOIN ranks y ON y.doc_id = e.b GROUP BY e.a)"""
 _SENTENCES = """
@@ -321,6 +363,10 @@ ORACLE_SQL = {
     "near_duplicate_owner": f"WITH {_OWNERS} SELECT unit, higher AS owner FROM own WHERE higher IS NOT NULL",
     "ambiguous_owner": f"WITH {_OWNERS} SELECT unit, tied FROM own WHERE higher IS NULL AND tied IS NOT NULL",
     "threshold_sweep": f"WITH {_BRUTE} SELECT t AS threshold, count(*) FILTER (shared >= t * total - 1e-9) AS n_pairs FROM pairs, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS t) GROUP BY t",
+    "near_duplicate_members": f"WITH {_MEMBERS} SELECT unit, head FROM members",
+    "near_duplicate_member_owner": f"WITH {_MEMBER_OWNERS} SELECT unit, higher AS owner FROM own WHERE higher IS NOT NULL",
+    "ambiguous_member_owner": f"WITH {_MEMBER_OWNERS} SELECT unit, tied FROM own WHERE higher IS NULL AND tied IS NOT NULL",
+    "member_threshold_sweep": f"WITH {_MEMBERS} SELECT t AS threshold, count(*) FILTER (shared >= t * total - 1e-9) AS n_pairs FROM member_pairs, (SELECT unnest([0.9::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS t) GROUP BY t",
     "exact_duplicates": "SELECT sha256(text) AS content, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1",
     "containment_overlap": """WITH i AS (SELECT item_id AS item, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark),
         d AS (SELECT doc_id AS unit, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS t FROM documents),

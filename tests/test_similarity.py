@@ -1,4 +1,6 @@
 import itertools
+import operator
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def test_owners(spark):
     assert got == {1: (None, None), 2: (1, 3), 3: (None, 2), 4: (None, 5), 5: (None, 4)}
 
 
+def test_every_member_of_a_class_has_owners(spark):
+    rng = random.Random(4)
+    ranks = {i: rng.randint(-1, 2) for i in range(60)}
+    head = {i: min(i, 20 + i % 7) if i >= 20 else i - i % 3 for i in range(60)}
+    classes = sorted(set(head.values()))
+    pairs = [p for p in itertools.combinations(classes, 2) if rng.random() < 0.15]
+    linked = {(a, b) for x, y in pairs for a, b in ((x, y), (y, x))}
+    want = {}
+    for u in head:
+        near = [v for v in head if v != u and (head[v] == head[u] or (head[u], head[v]) in linked)]
+        want[u] = tuple(min((v for v in near if f(ranks[v], ranks[u])), default=None) for f in (operator.gt, operator.eq))
+    got = S.class_owners(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(head.items()), "unit long, head long"), spark.createDataFrame(list(ranks.items()), "unit long, rank int")
+    )
+    assert {r.unit: (r.higher, r.tied) for r in got.collect()} == want
+
+
 def test_containment(spark):
     small = spark.createDataFrame([(1, ["a", "b", "c", "d", "e"])], "item long, tokens array<string>")
     large = spark.createDataFrame([(7, ["a", "b", "c", "d"]), (8, ["a"])], "unit long, tokens array<string>")
