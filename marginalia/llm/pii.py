@@ -132,11 +132,13 @@ def disclosing_terms(
     context = spans.select("doc", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.explode(near).alias("term"))
     joint = context.groupBy("term", "kind").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("doc").alias("n_joint"))
     joint = joint.where(F.col("n_values") >= min_values)
-    # Document frequencies; copies are folded so that both counts are of distinct texts.
-    every = based.select(F.xxhash64(body).alias("doc"), *[F.size(k).alias(k) for k in KINDS]).dropDuplicates(["doc"])
-    totals = every.agg(F.count("*").alias("n"), *[F.count_if(F.col(k) > 0).alias(k) for k in KINDS])
+    # Document frequencies; copies are folded so that all counts are of distinct texts.
+    words_of = F.array_join(F.array_distinct(F.split(F.lower(body), _GAP)), " ")
+    texts = based.select(F.xxhash64(body).alias("doc"), words_of.alias("words"), *[F.size(k).alias(k) for k in KINDS]).dropDuplicates(["doc"])
+    texts = common.written(texts, "texts", release=True)
+    totals = texts.agg(F.count("*").alias("n"), *[F.count_if(F.col(k) > 0).alias(k) for k in KINDS])
     totals = totals.select("n", F.explode(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.col(k))])).alias("kind", "n_kind"))
-    frequency = based.select(F.explode(F.array_distinct(F.split(F.lower(body), _GAP))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    frequency = texts.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     rated = joint.join(frequency, "term").join(totals, "kind")
     pmi = F.log2(F.col("n_joint") * F.col("n") / (F.greatest("n_term", "n_joint") * F.col("n_kind")))
     ic = -F.log2(F.col("n_kind") / F.col("n"))

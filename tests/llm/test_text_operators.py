@@ -139,6 +139,12 @@ def test_disclosing_terms(spark):
     assert len(got) == len(texts)
 
 
+def test_copies_do_not_hide_a_disclosing_term(spark):
+    texts = [f"Kontakt user{i}@mail.com so {'it ' * i}" for i in range(9)] + ["Kontakt user0@mail.com so "] * 200 + [f"so on {i}" for i in range(200)]
+    got = {r.doc_id: r.redacted for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert got[0] == got[9] == got[208] == " [EMAIL] so " and got[300] == texts[300]
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     good = lambda: ". ".join(" ".join(rng.choices(["some", "words", "flow", "here", "and", "there"], k=8)).capitalize() for _ in range(20))
