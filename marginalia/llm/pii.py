@@ -2,8 +2,8 @@
 
 Base spans are e-mail and IP addresses, card and phone numbers. Beyond them,
 terms that reveal such an entity are sanitised too: the corpus tells in how
-many documents a term stands near an entity of a kind, and in how many at
-all. With N documents, n(k) of them holding kind k, the share
+many distinct texts a term stands beside an entity, and in how many at all.
+With N texts, n(k) of them holding k, a kind or one entity of it, the share
 
     disclosure(t, k) = pmi(t, k) / ic(k)
     pmi = log2(n(t, k) * N / (n(t) * n(k))),  ic = -log2(n(k) / N)
@@ -11,8 +11,9 @@ all. With N documents, n(k) of them holding kind k, the share
 says how much of the entity's information the term gives away: 1 if the term
 never occurs without it. From ``generalise_at`` on, the term is replaced by
 its kind's name in documents that hold that kind; from ``remove_at`` on it is
-removed. A term needs ``min_values`` distinct entity values near it, so that
-copies of one document are no evidence.
+removed. A term must stand beside the kind or entity in ``min_texts`` distinct
+texts, so that copies of one document are no evidence. The parts of a base
+span are no terms.
 
 Only DataFrame functions are used. Statistics cover every document. Terms
 meet documents by joins on the term; nothing is broadcast by request.
@@ -112,46 +113,76 @@ def listed(*kinds: str) -> Column:
     return F.array_join(F.concat(*map(part, kinds)), ",")
 
 
+def outside(text: Column) -> Column:
+    """The text with a line end for each base span, so that no span's own parts are terms."""
+    at = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(done: Column, s: Column) -> Column:
+        between = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["out"], between, F.lit("\n")).alias("out"))
+
+    told = F.aggregate(at, begin, step, lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))
+    return F.when(F.size(at) > 0, told).otherwise(text)
+
+
+def terms_of(text: Column) -> Column:
+    """Distinct words of three letters or more outside base spans, in lower case."""
+    return F.filter(F.array_distinct(F.split(F.lower(outside(text)), _GAP)), lambda w: F.length(w) >= 3)
+
+
+def disclosure(n_joint: str, n_term: str, n_entity: str, n: str) -> Column:
+    """Share of an entity's information that a term gives away; null where every text holds the entity."""
+    pmi = F.log2(F.col(n_joint) * F.col(n) / (F.col(n_term) * F.col(n_entity)))
+    ic = -F.log2(F.col(n_entity) / F.col(n))
+    return F.when(ic > 0, pmi / ic)
+
+
 def disclosing_terms(
-    based: DataFrame, text: str = "text", window: int = 3, min_values: int = 8, generalise_at: float = 0.8
+    based: DataFrame, text: str = "text", min_texts: int = 8, generalise_at: float = 0.8
 ) -> DataFrame:
-    """Rows (term, kind, disclosure) of terms that reveal entities, from all of ``based``."""
+    """Rows (term, kind, disclosure) of terms that reveal a kind or one entity of it, from all of ``based``."""
     body = F.coalesce(F.col(text), F.lit(""))
-    holders = based.where(F.greatest(*[F.size(k) for k in KINDS]) > 0)
 
     def of_kind(kind: str) -> Column:
-        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-
-    tagged = F.concat(*map(of_kind, KINDS))
-    reach = 24 * window
-    spans = holders.select(F.xxhash64(body).alias("doc"), body.alias("body"), F.explode(tagged).alias("s"))
-    left = F.substring("body", F.greatest(F.col("s.start") + 1 - reach, F.lit(1)), F.least(F.col("s.start"), F.lit(reach)))
-    right = F.substring("body", F.col("s.end") + 1, F.lit(reach))
-    words = lambda c: F.filter(F.split(F.lower(c), _GAP), lambda w: F.length(w) >= 3)
-    near = F.concat(F.slice(F.reverse(words(left)), 1, window), F.slice(words(right), 1, window))
-    context = spans.select("doc", F.col("s.kind").alias("kind"), F.col("s.value").alias("value"), F.explode(near).alias("term"))
-    joint = context.groupBy("term", "kind").agg(F.count_distinct("value").alias("n_values"), F.count_distinct("doc").alias("n_joint"))
-    joint = joint.where(F.col("n_values") >= min_values)
-    # Document frequencies; copies are folded so that all counts are of distinct texts.
-    words_of = F.array_join(F.array_distinct(F.split(F.lower(body), _GAP)), " ")
-    texts = based.select(F.xxhash64(body).alias("doc"), words_of.alias("words"), *[F.size(k).alias(k) for k in KINDS]).dropDuplicates(["doc"])
+        return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value")))
+
+    held = F.array_distinct(F.concat(*map(of_kind, KINDS)))
+    # Copies are folded, so that all counts are of distinct texts.
+    texts = based.select(F.xxhash64(body).alias("doc"), F.array_join(terms_of(body), " ").alias("words"), held.alias("held")).dropDuplicates(["doc"])
     texts = common.written(texts, "texts", release=True)
-    totals = texts.agg(F.count("*").alias("n"), *[F.count_if(F.col(k) > 0).alias(k) for k in KINDS])
-    totals = totals.select("n", F.explode(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.col(k))])).alias("kind", "n_kind"))
-    frequency = texts.select(F.explode(F.split("words", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    rated = joint.join(frequency, "term").join(totals, "kind")
-    pmi = F.log2(F.col("n_joint") * F.col("n") / (F.greatest("n_term", "n_joint") * F.col("n_kind")))
-    ic = -F.log2(F.col("n_kind") / F.col("n"))
-    rated = rated.withColumn("disclosure", F.when(ic > 0, pmi / ic))
-    return rated.where(F.col("disclosure") >= generalise_at).select("term", "kind", "disclosure")
+    holds = {k: F.array_contains(F.col("held.kind"), k) for k in KINDS}
+    count = F.count("*").alias("n")
+    by_kind = F.explode(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.col(k))]))
+    kinds = texts.agg(count, *[F.count_if(c).alias(k) for k, c in holds.items()])
+    term = F.explode(F.split("words", " ")).alias("term")
+    frequency = texts.select(term, *[c.alias(k) for k, c in holds.items()]).where("term <> ''")
+    frequency = frequency.groupBy("term").agg(F.count("*").alias("n_term"), *[F.count_if(k).alias(k) for k in KINDS])
+    frequency = common.written(frequency.where(F.col("n_term") >= min_texts), "frequency")
+    # How much a term tells of a kind.
+    joint = frequency.select("term", "n_term", by_kind.alias("kind", "n_joint")).where(F.col("n_joint") >= min_texts)
+    rated = joint.join(kinds.select("n", by_kind.alias("kind", "n_entity")), "kind")
+    of_kinds = rated.select("term", "kind", disclosure("n_joint", "n_term", "n_entity", "n").alias("disclosure"))
+    # How much it tells of one entity. Only entities of min_texts texts can have a term in as many.
+    entity = texts.select("doc", F.explode("held").alias("entity"))
+    common_ones = entity.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
+    common_ones = common.written(common_ones, "entities")
+    per_text = entity.join(common_ones, "entity").groupBy("doc").agg(F.collect_list(F.struct("entity", "n_entity")).alias("known"))
+    both = texts.select("doc", "words").join(per_text, "doc").select(F.explode("known").alias("known"), "words").select("known", term).where("term <> ''")
+    both = both.groupBy("known", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_texts)
+    both = both.join(frequency.select("term", "n_term"), "term").join(kinds.select("n"))
+    both = both.select("term", F.col("known.entity.kind").alias("kind"), F.col("known.n_entity").alias("n_entity"), "n_joint", "n_term", "n")
+    of_entities = both.select("term", "kind", disclosure("n_joint", "n_term", "n_entity", "n").alias("disclosure"))
+    rated = of_kinds.unionByName(of_entities).where(F.col("disclosure") >= generalise_at)
+    return rated.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure"))
 
 
 def sanitise(
-    docs: DataFrame, text: str = "text", window: int = 3, min_values: int = 8, generalise_at: float = 0.8, remove_at: float = 0.95
+    docs: DataFrame, text: str = "text", min_texts: int = 8, generalise_at: float = 0.8, remove_at: float = 0.95
 ) -> DataFrame:
     """``docs`` with spans of each kind and of terms, and the text without them."""
     based = with_base(docs, text)
-    terms = common.written(disclosing_terms(based, text, window, min_values, generalise_at), "terms")
+    terms = common.written(disclosing_terms(based, text, min_texts, generalise_at), "terms")
     out = based
     if terms.isEmpty():
         out = out.withColumn("term", F.array().cast("array<struct<start:int,end:int,value:string,kind:string,removed:boolean>>"))
@@ -162,11 +193,14 @@ def sanitise(
         out = based.withColumns(names)
         holders = out.where(F.greatest(*[F.size(k) for k in KINDS]) > 0).dropDuplicates(list(names))
         kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
-        said = holders.select(*names, kinds.alias("kinds"), F.explode(F.array_distinct(F.split(F.lower(body), _GAP))).alias("term"))
+        said = holders.select(*names, kinds.alias("kinds"), F.explode(terms_of(body)).alias("term"))
         said = said.join(terms, "term").where(F.array_contains("kinds", F.col("kind")))
         said = said.groupBy(*names).agg(F.collect_list(F.struct("term", "kind", (F.col("disclosure") >= remove_at).alias("removed"))).alias("said"))
         pattern = F.concat(F.lit(f"(?iu)(?<!{_LETTER})(?:"), F.array_join(F.array_distinct(F.transform("said", lambda t: t["term"])), "|"), F.lit(f")(?!{_LETTER})"))
-        found = holders.select(*names, body.alias("body")).join(said, list(names)).select(*names, occurrences(F.col("body"), pattern).alias("found"), "said")
+        based_at = F.concat(*map(F.col, KINDS))
+        apart = lambda s: ~F.exists("based_at", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        found = holders.select(*names, body.alias("body"), based_at.alias("based_at")).join(said, list(names))
+        found = found.select(*names, F.filter(occurrences(F.col("body"), pattern), apart).alias("found"), "said")
 
         def judged(s: Column) -> Column:
             why = F.array_sort(F.filter(F.col("said"), lambda t: t["term"] == F.lower(s["value"])))

@@ -145,6 +145,13 @@ def test_copies_do_not_hide_a_disclosing_term(spark):
     assert got[0] == got[9] == got[208] == " [EMAIL] so " and got[300] == texts[300]
 
 
+def test_terms_that_reveal_one_address(spark):
+    texts = [f"so Quentin {i} q@mail.com" for i in range(20)] + [f"Quentin so {i}" for i in range(2)]
+    texts += [f"so user{i}@mail.com" for i in range(300)] + [f"so on {i}" for i in range(78)]
+    got = {r.doc_id: r.redacted for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert got[3] == "so  3 [EMAIL]" and got[30] == "so [EMAIL]" and got[399] == texts[399]
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     good = lambda: ". ".join(" ".join(rng.choices(["some", "words", "flow", "here", "and", "there"], k=8)).capitalize() for _ in range(20))
