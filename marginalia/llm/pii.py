@@ -10,7 +10,7 @@ With N texts, n(k) of them holding k, a kind or one entity of it, the share
 
 says how much of the entity's information the term gives away: 1 if the term
 never occurs without it. From ``generalise_at`` on, the term is replaced by
-its kind's name in documents that hold that kind; from ``remove_at`` on it is
+its kind's name wherever it stands, with or without the entity; from ``remove_at`` on it is
 removed. A term must stand beside the kind or entity in ``min_texts`` distinct
 texts, so that copies of one document are no evidence. The parts of a base
 span are no terms.
@@ -47,6 +47,7 @@ PATTERNS = {
 #: What a text must hold for the pattern to be worth a look.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]"}
 SPANS = "array<struct<start:int,end:int,value:string>>"
+TERMS = "array<struct<start:int,end:int,value:string,kind:string,removed:boolean>>"
 #: Blanks and signs between terms, after lower-casing.
 _GAP = r"[\x00-\x60\x7B-\x7F]+"
 _LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
@@ -185,30 +186,26 @@ def sanitise(
     terms = common.written(disclosing_terms(based, text, min_texts, generalise_at), "terms")
     out = based
     if terms.isEmpty():
-        out = out.withColumn("term", F.array().cast("array<struct<start:int,end:int,value:string,kind:string,removed:boolean>>"))
+        out = out.withColumn("term", F.array().cast(TERMS))
     else:
         body = F.coalesce(F.col(text), F.lit(""))
         # Two hashes name a row; equal rows share spans.
         names = {f"_name{i}": F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns if c in (text, "doc_id")]) for i in (1, 2)}
         out = based.withColumns(names)
-        holders = out.where(F.greatest(*[F.size(k) for k in KINDS]) > 0).dropDuplicates(list(names))
-        kinds = F.filter(F.array(*[F.when(F.size(k) > 0, F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
-        said = holders.select(*names, kinds.alias("kinds"), F.explode(terms_of(body)).alias("term"))
-        said = said.join(terms, "term").where(F.array_contains("kinds", F.col("kind")))
-        said = said.groupBy(*names).agg(F.collect_list(F.struct("term", "kind", (F.col("disclosure") >= remove_at).alias("removed"))).alias("said"))
+        said = out.select(*names, F.explode(terms_of(body)).alias("term")).join(terms, "term")
+        said = said.groupBy(*names).agg(F.collect_set(F.struct("term", "kind", (F.col("disclosure") >= remove_at).alias("removed"))).alias("said"))
         pattern = F.concat(F.lit(f"(?iu)(?<!{_LETTER})(?:"), F.array_join(F.array_distinct(F.transform("said", lambda t: t["term"])), "|"), F.lit(f")(?!{_LETTER})"))
-        based_at = F.concat(*map(F.col, KINDS))
-        apart = lambda s: ~F.exists("based_at", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        found = holders.select(*names, body.alias("body"), based_at.alias("based_at")).join(said, list(names))
-        found = found.select(*names, F.filter(occurrences(F.col("body"), pattern), apart).alias("found"), "said")
+
+        def apart(s: Column) -> Column:
+            return ~F.exists(F.concat(*map(F.col, KINDS)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
         def judged(s: Column) -> Column:
             why = F.array_sort(F.filter(F.col("said"), lambda t: t["term"] == F.lower(s["value"])))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.get(why, F.lit(0))["kind"].alias("kind"), F.coalesce(F.get(why, F.lit(0))["removed"], F.lit(False)).alias("removed"))
 
-        spans = found.select(*names, F.transform("found", judged).alias("term"))
-        out = out.join(spans, list(names), "left").drop(*names)
-        out = out.withColumn("term", F.coalesce("term", F.array().cast(spans.schema["term"].dataType)))
+        spans = F.transform(F.filter(occurrences(body, pattern), apart), judged)
+        out = out.join(said, list(names), "left").withColumn("term", F.when(F.col("said").isNotNull(), spans).otherwise(F.array().cast(TERMS)))
+        out = out.drop("said", *names)
     return out.withColumn("redacted", redacted(F.col(text)))
 
 

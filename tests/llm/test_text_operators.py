@@ -152,6 +152,12 @@ def test_terms_that_reveal_one_address(spark):
     assert got[3] == "so  3 [EMAIL]" and got[30] == "so [EMAIL]" and got[399] == texts[399]
 
 
+def test_terms_are_replaced_without_the_address_too(spark):
+    texts = [f"so Quentin {i} or on and off q{i}@mail.com" for i in range(40)] + ["Quentin on 7"] + [f"so on {i}" for i in range(300)]
+    got = {r.doc_id: r.redacted for r in pii.sanitise(docs(spark, texts)).collect()}
+    assert "Quentin" not in got[3] and "Quentin" not in got[40] and got[40].endswith(" on 7") and got[99] == texts[99]
+
+
 def test_classifier(spark):
     rng = random.Random(2)
     good = lambda: ". ".join(" ".join(rng.choices(["some", "words", "flow", "here", "and", "there"], k=8)).capitalize() for _ in range(20))
