@@ -16,7 +16,8 @@ matrix products; no pair of rows is ever a row of Spark.
 Defined results: vectors that are null or hold null or non-finite components
 take no part, as queries or candidates; vectors of different lengths do not
 compare; ties go to the smaller id; a repeated id is a candidate once for each
-of its rows but never for a query of its own id; fewer than k candidates give
+of its rows but never for a query of its own id; each query row has results of
+its own, also where ids repeat; fewer than k candidates give
 fewer rows; empty tables give none; other columns are ignored.
 """
 
@@ -81,7 +82,7 @@ def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The k best candidates of each query within one block, given scores they must reach."""
+    """The k best candidates of each query within one block, given scores they must reach: places of queries, ids, scores."""
     out: tuple[list, list, list] = ([], [], [])
     if not len(c):
         return out
@@ -109,31 +110,33 @@ def _best(q: np.ndarray, q_ids: np.ndarray, floor: np.ndarray, c: np.ndarray, c_
             cut = np.partition(s, len(s) - k)[len(s) - k]
             at, s = at[s >= cut], s[s >= cut]
         order = np.lexsort((c_ids[at], -s))[:k]
-        out[0].extend([int(q_ids[i])] * len(order))
+        out[0].extend([i] * len(order))
         out[1].extend(c_ids[at[order]].tolist())
         out[2].extend(s[order].tolist())
     return out
 
 
-_SCORES = "query_id long, vec_id long, score long"
+_SCORES = "name long, query_id long, vec_id long, score long"
 
 
 def _scored(pairs: DataFrame, k: int) -> DataFrame:
-    """Rows (query_id, vec_id, score): the best of each pair of blocks."""
+    """Rows (name, query_id, vec_id, score): the best of each pair of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 row = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
                 dim = row["dim"].as_py()
+                names = np.asarray(row["q_names"].values)
                 q_ids, c_ids = np.asarray(row["q_ids"].values), np.asarray(row["ids"].values)
                 q = np.asarray(row["q_data"].values).reshape(len(q_ids), dim)
                 c = np.asarray(row["data"].values).reshape(len(c_ids), dim)
                 floor = np.asarray(row["floors"].values)
-                got = _best(q, q_ids, floor, c, c_ids, k)
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in got], ["query_id", "vec_id", "score"])
+                at, ids, scores = _best(q, q_ids, floor, c, c_ids, k)
+                at = np.array(at, np.int64)
+                yield pa.record_batch([pa.array(x, pa.int64()) for x in (names[at], q_ids[at], ids, scores)], ["name", "query_id", "vec_id", "score"])
 
-    return pairs.select("dim", "q_ids", "q_data", "floors", "ids", "data").mapInArrow(run, _SCORES)
+    return pairs.select("dim", "q_names", "q_ids", "q_data", "floors", "ids", "data").mapInArrow(run, _SCORES)
 
 
 def top_products(
@@ -141,30 +144,30 @@ def top_products(
 ) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): each query's k best candidates of ``vectors``."""
     packed = common.written(blocks(quantised(vectors, key, vector, scale)).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    asked = quantised(queries, key, vector, scale).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(64)))
-    asked = common.written(asked, "queries")
+    asked = quantised(queries, key, vector, scale).withColumn("name", F.monotonically_increasing_id())
+    asked = common.written(asked.withColumn("slot", F.pmod(F.xxhash64("name"), F.lit(64))), "queries")
     # First pass: each query meets the longest block of its dimension.
     heads = packed.groupBy("dim").agg(F.max_by("block", F.struct("longest", "n", "block")).alias("block")).join(packed, ["dim", "block"])
     none = asked.withColumn("floor", F.lit(float("-inf")))
 
     def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
         """Queries packed into rows of at most BLOCK, so that one group may hold all."""
-        row = F.row_number().over(Window.partitionBy(*by, "slot").orderBy("id"))
+        row = F.row_number().over(Window.partitionBy(*by, "slot").orderBy("name"))
         rows = rows.withColumn("chunk", F.floor(row / BLOCK))
-        packed_rows = rows.groupBy(*by, "slot", "chunk").agg(F.collect_list(F.struct("id", "v", "floor")).alias("rows"))
-        return packed_rows.select(*by, F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_data"), F.col("rows.floor").alias("floors"))
+        packed_rows = rows.groupBy(*by, "slot", "chunk").agg(F.collect_list(F.struct("name", "id", "v", "floor")).alias("rows"))
+        return packed_rows.select(*by, F.col("rows.name").alias("q_names"), F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_data"), F.col("rows.floor").alias("floors"))
 
     first = common.written(_scored(grouped(none, ["dim"]).join(heads, "dim"), k), "first")
-    reached = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
-    floors = asked.join(reached, asked["id"] == reached["query_id"], "left").withColumn(
+    reached = first.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+    floors = asked.join(reached, "name", "left").withColumn(
         "floor", F.when(F.col("n") >= k, F.col("floor").cast("double")).otherwise(float("-inf"))
     )
     # Second pass: the blocks that a query's bound cannot rule out.
     limits = packed.join(heads.select("block"), "block", "left_anti").select("dim", "block", "longest")
     limits = limits.groupBy("dim").agg(F.collect_list(F.struct("longest", "block")).alias("limits"))
     far = F.filter("limits", lambda b: (F.col("floor") <= 0) | (b["longest"] * F.sqrt("norm2") * (1 + 1e-9) >= F.col("floor")))
-    met = floors.join(limits, "dim").select("id", "v", "slot", "floor", "dim", F.explode(F.transform(far, lambda b: b["block"])).alias("block"))
+    met = floors.join(limits, "dim").select("name", "id", "v", "slot", "floor", "dim", F.explode(F.transform(far, lambda b: b["block"])).alias("block"))
     second = _scored(grouped(met, ["block"]).join(packed, "block"), k)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "vec_id"))
     both = first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k)
     return both.select("query_id", "rank", "vec_id", "score")

@@ -188,3 +188,15 @@ def test_top_products(spark, monkeypatch, block):
         assert got[q] == [(int(i), int(s[i])) for i in best]
     assert set(got) == set(range(0, 200, 10))
     assert top_products.top_products(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_query_rows_that_share_an_id(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 9)]
+    asked = [(1, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [1.0, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    got = top_products.top_products(spark.createDataFrame(rows, schema), spark.createDataFrame(asked, schema), k=5).collect()
+    places = defaultdict(list)
+    for r in sorted(got):
+        places[r.query_id].append((r.rank, r.vec_id))
+    first, second = [8, 7, 6, 5, 4], [2, 3, 4, 5, 6]
+    assert places == {1: sorted([*enumerate(first, 1), *enumerate(second, 1)]), 2: list(enumerate(first, 1))}
