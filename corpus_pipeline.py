@@ -8,7 +8,7 @@ an empty table; extra columns are dropped by the first stage.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm import common, mixing, pii, quality_classifier, sentence_pieces, similar_documents
@@ -58,10 +58,16 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document appears once for each whole copy taken; where only some of its
     words are taken, one more row holds the first of them.
     """
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies", "extra").dropDuplicates(["_id", "_size"])
+    # Rows alike in id, source and size pair with their decisions by place.
+    alike = ["doc_id", "source", "size"]
+    by = lambda *order: F.row_number().over(Window.partitionBy(*alike).orderBy(*order))
+    taken = mixing.mix(docs).withColumn("_place", by("copies", "extra"))
+    taken = taken.select(*[F.col(c).alias(f"_{c}") for c in alike], "_place", "copies", "extra")
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     rows = docs.select(*COLUMNS, size.alias("size"))
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
+    rows = rows.withColumn("place", by("text", "lang", "n_chars"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source"))
+    rows = rows.join(taken, same & (F.col("size") == F.col("_size")) & (F.col("place") == F.col("_place")))
     whole = F.col("copies") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)
     part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
     # Documents without words weigh nothing and stay once.

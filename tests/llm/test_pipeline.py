@@ -36,3 +36,15 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_rows_without_ids_keep_their_own_shares(spark):
+    from marginalia.llm import mixing
+
+    rows = [(None, f"w{i} x y z", "en", s, 8) for s in ("a", "b", "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r.source: r.taken for r in mixing.mix(docs).groupBy("source").agg({"taken": "sum"}).toDF("source", "taken").collect()}
+    got = {}
+    for r in corpus_pipeline.mixture(spark, docs, SF).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == want
