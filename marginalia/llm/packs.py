@@ -1,0 +1,144 @@
+"""Packs: 64-bit values of many rows to their equals and back, in two shuffles.
+
+A task gathers the values of its rows into packs of about ``PACK`` values and
+sorts them. Each pack is cut into buckets by the values' first bits, and equal
+values of all packs meet in a bucket's group, as sorted arrays and not as rows.
+What the group decides on goes back to the packs it came from, where the rows'
+own columns (notes) wait. A value of any frequency is an array there, never a
+list of pairs; buckets and packs are bounded, whatever the values are.
+
+Packs are numbered by task, so the rows of ``rows`` must come in the same order
+when a task runs again: read them from files.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+
+#: Values and rows of a pack.
+PACK, PACK_ROWS = 1 << 21, 1 << 17
+_MOVED = "bucket long, pack long, n int, data binary, notes binary"
+
+
+def planes(a: np.ndarray) -> bytes:
+    """The bytes of an array by significance, so that what is alike compresses."""
+    return np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
+
+
+def unplanes(raw: bytes, kinds: list, n: int) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in map(np.dtype, kinds):
+        part = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+        out.append(np.ascontiguousarray(part.T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
+
+
+def binaries(parts: np.ndarray, bounds: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """Binary values: the bytes of ``parts`` between consecutive bounds."""
+    offsets = (np.asarray(bounds) * parts.dtype.itemsize).astype(np.int32)
+    out = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
+    return out if missing is None else pa.compute.if_else(pa.array(~missing), out, pa.scalar(None, pa.binary()))
+
+
+def alike(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal values together, and the first of each group in it (and the end)."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    return order, np.append(first, len(v))
+
+
+def exchange(
+    rows: DataFrame,
+    kernel: Callable[[pa.RecordBatch, set], Iterator[tuple]],
+    decide: Callable[..., tuple[np.ndarray, list[np.ndarray]]],
+    assemble: Callable[..., pa.Table],
+    schema: str,
+    extra: list,
+    back: list,
+) -> DataFrame:
+    """Rows of ``schema`` from ``assemble``.
+
+    ``kernel(batch, seen)`` yields (values, units, number of units, extra
+    columns, notes): units number what a value belongs to, from 0 in each yield,
+    and notes is a record batch; ``seen`` is a set of the current pack.
+    ``decide(values, *extra)`` gets all values of a bucket and gives a mask of
+    those that go back and columns for these. ``assemble(notes, units, *columns)``
+    gets a pack's notes and what came back to it, by unit. ``extra`` and
+    ``back`` are the types of the columns on either way.
+    """
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(1, int(np.ceil(np.log2(2 * partitions))))
+    shift = np.uint64(64 - bits)
+    names = ["bucket", "pack", "n", "data", "notes"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 24
+        held: list[tuple] = []
+        notes: list[pa.RecordBatch] = []
+        seen: set = set()
+        units = size = lines = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(columns[0])
+            columns = [c[order] for c in columns]
+            bounds = np.searchsorted(columns[0] >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
+            full = np.flatnonzero(np.diff(bounds))
+            for at in range(0, len(full), 1024):
+                part = full[at : at + 1024]
+                data = [b"".join(planes(c[bounds[i] : bounds[i + 1]]) for c in columns) for i in part.tolist()]
+                sizes = np.diff(bounds)[part].astype(np.int32)
+                yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), number)), pa.array(sizes), pa.array(data, pa.binary()), pa.nulls(len(part), pa.binary())], names)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, notes[0].schema) as out:
+                for b in notes:
+                    out.write_batch(b)
+            yield pa.record_batch([pa.array([-1 - number]), pa.array([number]), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+
+        for b in batches:
+            for values, unit, n, more, note in kernel(b, seen):
+                held.append((values, (unit + units).astype(np.uint32), *more))
+                notes.append(note)
+                units, size, lines = units + n, size + len(values), lines + note.num_rows
+                if size >= PACK or lines >= PACK_ROWS:
+                    yield from packed()
+                    notes, seen, units, size, lines = [], set(), 0, 0, 0
+                    number += 1
+        if notes:
+            yield from packed()
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return table
+        n = table["n"].to_numpy()
+        parts = [unplanes(x, ["u8", "u4", *extra], k) for x, k in zip(table["data"].to_pylist(), n.tolist(), strict=True)]
+        values, units, *more = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        del parts
+        keep, columns = decide(values, *more)
+        of = np.repeat(np.arange(len(n)), n)[keep]
+        bounds = np.searchsorted(of, np.arange(len(n) + 1))
+        full = np.flatnonzero(np.diff(bounds))
+        columns = [units[keep], *columns]
+        data = [b"".join(planes(c[bounds[i] : bounds[i + 1]]) for c in columns) for i in full.tolist()]
+        sizes = np.diff(bounds)[full].astype(np.int32)
+        return pa.table([pa.array(np.full(len(full), key[0].as_py())), table["pack"].combine_chunks().take(pa.array(full)), pa.array(sizes), pa.array(data, pa.binary()), pa.nulls(len(full), pa.binary())], names)
+
+    def home(table: pa.Table) -> pa.Table:
+        n = table["n"].to_numpy()
+        notes = next(pa.ipc.open_stream(x).read_all() for x in table["notes"].to_pylist() if x is not None)
+        kinds = ["u4", *back]
+        parts = [unplanes(x, kinds, k) for x, k in zip(table["data"].to_pylist(), n.tolist(), strict=True) if k]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
+        order = np.argsort(columns[0], kind="stable")
+        return assemble(notes.combine_chunks(), *(c[order] for c in columns))
+
+    met = rows.mapInArrow(pack, _MOVED).groupBy("bucket").applyInArrow(meet, _MOVED)
+    return met.groupBy("pack").applyInArrow(home, schema)

@@ -4,30 +4,33 @@ A document's set holds its distinct n-word shingles, lower-cased (A-Z); with
 fewer words the whole sequence is one. Documents with equal sets form a class,
 and classes are joined: two link when intersection / union reaches the
 threshold t, in integers. If they do, each order of all tokens gives both sets
-a prefix of n - ceil(t * n) + 1 tokens that share one. Every order places the
-hottest tokens last and the rest by a hash of its own. A pair must share a
-prefix token under every order before it is verified.
-
-1. The first order's prefixes meet by token. A list of few classes gives its
-   pairs; pairs whose sizes already rule a link out are left out.
-2. The other orders' prefixes of those pairs are intersected.
-3. What remains is verified on whole sets.
-A list longer than any token outside the hottest could make is one of near
-copies, or of texts made of common passages. It gives no pairs: lists that
-overlap form a cluster, the cluster is cut into bands of like size and
-blocks, and blocks are compared with blocks, keeping only links that connect
-something new. So a group of any size costs rows in proportion to its blocks,
-and no link between unconnected classes is lost.
-
-The hottest tokens are the ``HOT_TOKENS`` with the most documents among those
-that some task saw ``HOT_IN_TASK`` times; that bounds what is broadcast. Any
-choice of them gives the same links.
+a prefix of n - ceil(t * n) + 1 tokens that share one. Every order places rare
+tokens first and breaks ties by a hash of its own. A pair must share a prefix
+token under every order before it is verified.
+
+1. Tokens of all sets meet in packs. Those that no other set holds cannot be in
+   an intersection; a set with less than the share t of other tokens links with
+   nothing. What is left meets once more, class by class, for exact counts.
+2. The first order's prefixes form lists by token. Each list names a
+   representative, the member with the largest share of common tokens, and
+   every member pairs with it.
+3. A pair is kept where its sizes and the places of the token leave room for
+   the overlap; then the other orders' prefixes are intersected, then whole
+   sets. Links make components.
+4. Members of a list that are in different components by then pair with each
+   other under the same bounds, by a join on token and size, and are verified.
+   Pairs inside a component can tell nothing new.
+
+So a group of any number of near copies costs rows in proportion to its
+members, and no link between unconnected classes is lost. Tokens are 64-bit
+hashes of shingles; a class is named by 128 bits of its set.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; equal sets link at any size; repeated rows and rows
 that share an id are each returned with the component of their set; a null id
-never names a component unless nothing else could (then it is null); no rows
-give no rows; other columns are ignored.
+never names a component unless nothing else could (then it is null); very long
+texts count in full; no rows give no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,17 +43,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .bodies import shared_values, unzipped, zipped
+from .packs import alike, binaries, exchange
 from .words import grams, mix, slices, words
 
-HOT_TOKENS = 1 << 17
-HOT_IN_TASK = 4
-#: Lists of so many classes give pairs, whatever the hottest tokens are.
-LIST = 8
-#: Classes of a block of a cluster.
-BLOCK = 256
 #: Seeds of the token orders.
 ORDERS = (0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997)
+#: Ratio of the size bands in which members of a list meet.
+BAND = 1.03
+_SETS = "key long, n long, class binary, tokens binary"
+_COUNTED = "id long, n long, tokens binary, levels binary"
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,279 +76,197 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def set_digests(g: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each row's set: sums of two mixed hashes, mixed again."""
+    """128 bits for each row's set: sums of two mixed hashes, mixed again."""
     sums = []
     for seed in (0x51, 0xA7):
         total = np.zeros(len(g) + 1, np.uint64)
         np.cumsum(mix(g ^ np.uint64(seed * 0x9E3779B97F4A7C15 % (1 << 64))), out=total[1:])
-        sums.append(total[first[1:]] - total[first[:-1]])
-    return mix(sums[0] ^ mix(sums[1] + np.diff(first).astype(np.uint64))).view(np.int64)
+        sums.append(mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64)))
+    return np.column_stack(sums)
 
 
-def prefix_mask(g: np.ndarray, first: np.ndarray, seed: int, hot: np.ndarray, percent: int) -> np.ndarray:
-    """Which tokens are in the prefix of their row under the order of ``seed``."""
-    sizes = np.diff(first)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    key = mix(g ^ np.uint64(seed)) >> np.uint64(1)
-    if len(hot):
-        found = np.searchsorted(hot, g)
-        found[found == len(hot)] = 0
-        key |= (hot[found] == g).astype(np.uint64) << np.uint64(63)
-    order = np.lexsort((key, row))
-    length = sizes - -(-sizes * percent // 100) + 1
-    mask = np.zeros(len(g), bool)
-    mask[order] = np.arange(len(g)) - first[row] < length[row]
-    return mask
+def order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
+    """Places of tokens in the order of ``seed``: by level of frequency, then by hash."""
+    return levels.astype(np.uint64) << np.uint64(56) | mix(tokens ^ np.uint64(seed)) >> np.uint64(8)
 
 
-def classes(docs: DataFrame, n: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, n_shingles, class): documents with equal sets share a class, a 64-bit digest."""
+def prefixes(tokens: np.ndarray, levels: np.ndarray, first: np.ndarray, sizes: np.ndarray, seed: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens in the prefix of their set under one order, by row and place, and those places.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in slices(b):
-                g, first = shingle_sets(s.column(1), n)
-                yield pa.record_batch([s.column(0), pa.array(np.diff(first)), pa.array(set_digests(g, first))], ["key", "n_shingles", "class"])
-
-    return docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, n_shingles long, class long")
-
-
-def hot_tokens(docs: DataFrame, n: int, text: str = "text") -> tuple[np.ndarray, int]:
-    """The tokens with the most documents, at most HOT_TOKENS of them, sorted; and the least count among them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def fold() -> None:
-            nonlocal tokens, counts, held
-            every = np.concatenate([tokens, *held])
-            weight = np.concatenate([counts, *(np.ones(len(x), np.int64) for x in held)])
-            tokens, inverse = np.unique(every, return_inverse=True)
-            counts = np.bincount(inverse, weight, len(tokens)).astype(np.int64)
-            if len(tokens) > 1 << 21:  # a task's memory is bounded: what it saw once goes
-                tokens, counts = tokens[counts > 1], counts[counts > 1]
-            held = []
-
-        for b in batches:
-            for s in slices(b):
-                held.append(shingle_sets(s.column(0), n)[0])
-                if sum(map(len, held)) > 1 << 20:
-                    fold()
-        fold()
-        often = counts >= HOT_IN_TASK
-        yield pa.record_batch([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], ["token", "n"])
-
-    seen = docs.select(F.col(text).alias("text")).mapInArrow(run, "token long, n long")
-    top = common.written(seen.groupBy("token").agg(F.sum("n").alias("n")), "hot")
-    # A bucket per sixteenth of a power of two: a few hundred rows at most.
-    level = F.floor(F.log2("n") * 16).cast("int")
-    least, room, share = None, HOT_TOKENS, 0.0
-    for row in top.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        least = row["level"]
-        if row["count"] > room:
-            share = 0.9 * room / row["count"]
-            break
-        room, share = room - row["count"], 1.0
-    if least is None:
-        return np.zeros(0, np.uint64), 0
-    taken = top.where((level > least) | ((level == least) & (F.pmod(F.xxhash64("token"), F.lit(1000)) < 1000 * share)))
-    return np.sort(np.array(taken.select("token").limit(HOT_TOKENS).toPandas()["token"], np.int64).view(np.uint64)), int(2 ** (least / 16))
-
-
-def _first_prefix(s: pa.RecordBatch, n: int, hot: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix tokens of a slice under the first order with their classes, each class once."""
-    g, first = shingle_sets(s.column(s.schema.get_field_index("text")), n)
-    digest, sizes = set_digests(g, first), np.diff(first)
-    _, once = np.unique(digest, return_index=True)
-    fresh = np.zeros(len(sizes), bool)
-    fresh[once] = True
-    mask = prefix_mask(g, first, ORDERS[0], hot, percent) & np.repeat(fresh, sizes)
-    return g[mask], np.repeat(digest, sizes)[mask]
-
-
-def _prefixes(texts: DataFrame, n: int, hot, percent: int) -> DataFrame:
-    """Rows (token, class): the first order's prefixes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in slices(b):
-                g, digest = _first_prefix(s, n, hot.value, percent)
-                yield pa.record_batch([pa.array(g.view(np.int64)), pa.array(digest)], ["token", "class"])
-
-    return texts.select("text").mapInArrow(run, "token long, class long")
-
-
-def _own(bodies: DataFrame, n: int) -> DataFrame:
-    """Rows (class, body) whose body is of that class: an id may have other texts too."""
+    ``sizes`` counts all tokens of a set; the ones that no other set holds are
+    not in ``tokens`` and stand before them in every order.
+    """
+    held = np.diff(first)
+    row = np.repeat(np.arange(len(held)), held)
+    order = np.lexsort((order_keys(tokens, levels, seed), row))
+    place = np.arange(len(tokens)) - first[row] + (sizes - held)[row]
+    inside = place < (sizes - -(-sizes * percent // 100) + 1)[row]
+    return order[inside], place[inside]
+
+
+def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (key, n, class, tokens) of all documents; tokens that other documents hold, where they may suffice for a link."""
+
+    def kernel(b: pa.RecordBatch, seen: set) -> Iterator[tuple]:
+        for s in slices(b):
+            g, first = shingle_sets(s.column(1), n)
+            digest, sizes = set_digests(g, first), np.diff(first)
+            fresh = np.zeros(len(sizes), bool)
+            for i, d in enumerate(map(bytes, digest)):
+                fresh[i] = d not in seen
+                seen.add(d)
+            name = binaries(digest.reshape(-1), np.arange(len(sizes) + 1) * 2)
+            note = pa.record_batch([s.column(0), pa.array(sizes), name], ["key", "n", "class"])
+            yield g[np.repeat(fresh, sizes)], np.repeat(np.flatnonzero(fresh), sizes[fresh]), len(sizes), [], note
+
+    def assemble(notes: pa.Table, units: np.ndarray, tokens: np.ndarray) -> pa.Table:
+        sizes = notes["n"].to_numpy()
+        order = np.lexsort((tokens, units))
+        first = np.searchsorted(units, np.arange(len(sizes) + 1))
+        held = np.diff(first)
+        few = (held == 0) | (100 * held < percent * sizes)
+        return notes.append_column("tokens", binaries(tokens[order], first, few))
+
+    return exchange(docs, kernel, _shared, assemble, _SETS, [], ["u8"])
+
+
+def _shared(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    order, bounds = alike(values)
+    keep = np.zeros(len(values), bool)
+    keep[order] = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
+    return keep, [values[keep]]
+
+
+def _counted(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (id, n, tokens, levels) of the classes: shared tokens, and the levels of their numbers of classes."""
+
+    def kernel(b: pa.RecordBatch, _: set) -> Iterator[tuple]:
+        for s in slices(b, "tokens"):
+            tokens = [np.frombuffer(x, np.uint64) for x in s.column(2).to_pylist()]
+            yield np.concatenate(tokens), np.repeat(np.arange(len(tokens)), list(map(len, tokens))), len(tokens), [], s.select([0, 1])
+
+    def decide(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        order, bounds = alike(values)
+        count = np.empty(len(values), np.int64)
+        count[order] = np.repeat(np.diff(bounds), np.diff(bounds))
+        keep = count > 1
+        return keep, [values[keep], np.minimum(8 * np.log2(count[keep]), 255).astype(np.uint8)]
+
+    def assemble(notes: pa.Table, units: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> pa.Table:
+        sizes = notes["n"].to_numpy()
+        order = np.lexsort((tokens, units))
+        first = np.searchsorted(units, np.arange(len(sizes) + 1))
+        enough = pa.array((np.diff(first) > 0) & (100 * np.diff(first) >= percent * sizes))
+        out = notes.append_column("tokens", binaries(tokens[order], first)).append_column("levels", binaries(levels[order], first))
+        return out.filter(enough)
+
+    return exchange(sets.select("id", "n", "tokens"), kernel, decide, assemble, _COUNTED, [], ["u8", "u1"])
+
+
+def _lists(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, id, n, reach, common): the first order's prefixes.
+
+    ``reach`` is the largest set that the token's place leaves room for: from
+    that place on, the overlap that a link needs must still fit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = 0
-            for s in unzipped(b):
-                own = pa.array(set_digests(*shingle_sets(s.column(1), n)) == np.asarray(s.column(0)))
-                yield b.slice(at, s.num_rows).filter(own)
-                at += s.num_rows
-
-    return bodies.select("class", "body").mapInArrow(run, "class long, body binary")
-
-
-def _sets(names: list[int], bodies: list[bytes], n: int) -> dict[int, np.ndarray]:
-    """The sets of compressed texts, each name's once. A text is a third of its set's size in a shuffle."""
-    import zstandard
-
-    expand = zstandard.ZstdDecompressor().decompress
-    once = dict(zip(names, bodies, strict=True))
-    texts = pa.array([expand(x) for x in once.values()], pa.binary()).cast(pa.string())
-    found: list[np.ndarray] = []
-    for s in slices(pa.record_batch([texts], ["text"])):
-        g, first = shingle_sets(s.column(0), n)
-        found += [g[i:j] for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-    return dict(zip(once, found, strict=True))
-
+            for s in slices(b, "tokens"):
+                ids, sizes = s.column(0).to_numpy(), s.column(1).to_numpy()
+                tokens = [np.frombuffer(x, np.uint64) for x in s.column(2).to_pylist()]
+                held = np.array(list(map(len, tokens)))
+                first = np.concatenate([[0], np.cumsum(held)])
+                flat = np.concatenate(tokens)
+                levels = np.concatenate([np.frombuffer(x, np.uint8) for x in s.column(3).to_pylist()])
+                at, place = prefixes(flat, levels, first, sizes, ORDERS[0], percent)
+                row = np.repeat(np.arange(len(held)), held)[at]
+                reach = (100 + percent) * (sizes[row] - place) // percent - sizes[row]
+                yield pa.record_batch([pa.array(x) for x in (flat[at].view(np.int64), ids[row], sizes[row], reach, (held / sizes)[row])], ["token", "id", "n", "reach", "common"])
 
-def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    return sets.mapInArrow(run, "token long, id long, n long, reach long, common double")
 
 
-def _verified(pairs: DataFrame, hot, n: int, percent: int) -> DataFrame:
-    """Links (a, b) among candidates (a, b, x, y): prefixes of the other orders are intersected, then whole sets."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among candidates (a, b): prefixes of the other orders are intersected, then whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                names = [c.to_pylist() for c in b.columns[:2]]
-                sets = _sets(names[0] + names[1], b.column(2).to_pylist() + b.column(3).to_pylist(), n)
-                first = np.concatenate([[0], np.cumsum([len(v) for v in sets.values()])])
-                every = np.concatenate(list(sets.values()))
-                place = {c: slice(i, j) for c, i, j in zip(sets, first[:-1].tolist(), first[1:].tolist(), strict=True)}
-                masks = [prefix_mask(every, first, seed, hot.value, percent) for seed in ORDERS[1:]]
+            for start in range(0, batch.num_rows, 64):
+                b = batch.slice(start, 64)
+                sets: dict[int, tuple] = {}
+                for i in (0, 4):
+                    sets |= {k: (n, np.frombuffer(t, np.uint64), np.frombuffer(v, np.uint8)) for k, n, t, v in zip(*(c.to_pylist() for c in b.columns[i : i + 4]), strict=True)}
+                place = {k: i for i, k in enumerate(sets)}
+                sizes, tokens, levels = zip(*sets.values(), strict=True)
+                sizes, first = np.array(sizes), np.concatenate([[0], np.cumsum(list(map(len, tokens)))])
+                flat, levels = np.concatenate(tokens), np.concatenate(levels)
+                row = np.repeat(np.arange(len(sizes)), np.diff(first))
+                heads = []
+                for seed in ORDERS[1:]:
+                    at, _ = prefixes(flat, levels, first, sizes, seed, percent)
+                    bounds = np.searchsorted(row[at], np.arange(len(sizes) + 1))
+                    heads.append([flat[at[i:j]] for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
                 keep = []
-                for x, y in zip((place[c] for c in names[0]), (place[c] for c in names[1]), strict=True):
-                    met = all(len(np.intersect1d(every[x][m[x]], every[y][m[y]], assume_unique=True)) for m in masks)
-                    keep.append(met and _linked(every[x], every[y], percent))
-                yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def block_links(classes_: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links that connect the members of two blocks (sides 0 and 1, or one block alone), as a forest.
-
-    Overlaps of a strip of members with all others are counted through the
-    sorted tokens; members already connected are not linked again.
-    """
-    values = sets
-    sizes = np.array([len(v) for v in values])
-    tokens = np.concatenate(values)
-    owner = np.repeat(np.arange(len(values)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    parent = list(range(len(values)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    two = 1 in side
-    side_of = np.array(side)
-    links = []
-    for i, v in enumerate(values):
-        if two and side[i]:
-            continue
-        lo, hi = np.searchsorted(tokens, v, "left"), np.searchsorted(tokens, v, "right")
-        span = hi - lo
-        reach = np.cumsum(span)
-        at = np.repeat(lo - (reach - span), span) + np.arange(reach[-1] if len(reach) else 0)
-        shared = np.bincount(owner[at], minlength=len(values))
-        linked = 100 * shared >= percent * (len(v) + sizes - shared)
-        for j in np.flatnonzero(linked & (side_of == 1 if two else np.arange(len(values)) > i)):
-            a, b = root(i), root(int(j))
-            if a != b:
-                parent[a] = b
-                links.append((classes_[i], classes_[int(j)]))
-    return links
-
-
-def _cluster_links(members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links within clusters; ``members`` has (cluster, class, n, body).
-
-    Members are dealt to bands by size, so that a link stays in a band or
-    joins neighbours, and bands are cut into blocks. Blocks of a band meet each
-    other and those of the next band.
-    """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * 1.0001)).cast("int")
-    members = members.withColumn("band", band)
-    sizes = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    beside = [sizes.select("cluster", (F.col("band") + d).alias("band"), F.col("blocks").alias(n)) for d, n in ((0, "blocks"), (-1, "above"), (1, "below"))]
-    dealt = members.join(beside[0], ["cluster", "band"])
-    for other in beside[1:]:
-        dealt = dealt.join(other, ["cluster", "band"], "left")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-
-    def upto(n: str) -> F.Column:
-        return F.when(F.col(n).isNotNull(), F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
-
-    def meet(low: F.Column, i: F.Column, step: int, j: F.Column) -> F.Column:
-        return F.struct(low.alias("low"), i.alias("i"), F.lit(step).alias("step"), j.alias("j"))
-
-    block = F.col("block")
-    own = F.transform(upto("blocks"), lambda o: meet(F.col("band"), F.least(block, o), 0, F.greatest(block, o)))
-    above = F.transform(upto("above"), lambda o: meet(F.col("band"), block, 1, o))
-    below = F.transform(upto("below"), lambda o: meet(F.col("band") - 1, o, 1, block))
-    dealt = dealt.withColumn("meet", F.explode(F.concat(own, above, below)))
-    second = F.when(F.col("meet.step") == 1, F.col("band") != F.col("meet.low")).otherwise(block != F.col("meet.i"))
-    dealt = dealt.select("cluster", "meet.*", second.cast("int").alias("second"), "class", "body")
-
-    def run(group: pa.Table) -> pa.Table:
-        names = group["class"].to_pylist()
-        sets = _sets(names, group["body"].to_pylist(), n)
-        links = block_links(names, [sets[c] for c in names], group["second"].to_pylist(), percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
-
-    return dealt.groupBy("cluster", "low", "i", "step", "j").applyInArrow(run, "a long, b long")
+                for x, y in zip((place[k] for k in b.column(0).to_pylist()), (place[k] for k in b.column(4).to_pylist()), strict=True):
+                    met = all(len(np.intersect1d(h[x], h[y], assume_unique=True)) for h in heads)
+                    both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True)) if met else 0
+                    keep.append(met and 100 * both >= percent * (int(sizes[x] + sizes[y]) - both))
+                yield pa.record_batch([b.column(0), b.column(4)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"), F.col("levels").alias("l_a"))
+    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"), F.col("levels").alias("l_b"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "n_a", "t_a", "l_a", "b", "n_b", "t_b", "l_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: list[str], where: F.Column) -> DataFrame:
+    """Distinct pairs (a < b) of members that meet under ``where``."""
+    met = x.join(y, on).where(where & (F.col("n_y") <= F.col("reach")) & (F.col("n") <= F.col("reach_y")))
+    return met.select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct()
+
+
+def linked(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (node, component) of the classes that link, by their ids."""
+    lists = common.written(_lists(sets, percent), "lists")
+    member = F.struct("id", "n", "reach")
+    shared = lists.groupBy("token").agg(F.count("*").alias("length"), F.max_by(member, F.struct("common", "id")).alias("head")).where("length > 1")
+    heads = common.written(shared.select("token", *[F.col(f"head.{c}").alias(f"{c}_y") for c in ("id", "n", "reach")]), "heads", release=True)
+    first = _pairs(lists, heads, ["token"], F.col("id") != F.col("id_y"))
+    first = common.written(_links(first, sets, percent), "links", release=True)
+    known = common.written(common.components(first, "components"), "known")
+    # Lists whose members are not all connected yet.
+    rows = lists.join(heads.select("token"), "token").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = common.written(rows.drop("common"), "rows", release=True)
+    # Of two members that link, the smaller one's place leaves room for its own size at least.
+    band = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(BAND)))
+    early = rows.where("reach >= n").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    every = rows.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    opened = common.written(every.where("least < most").join(early.select("token"), "token").select("token"), "opened")
+    rows = rows.join(opened, "token")
+    y = rows.where("reach >= n").withColumn("band", F.explode(F.sequence(band("n"), band("reach"))))
+    y = y.select("token", "band", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "reach", "component")])
+    other = (F.col("component") != F.col("component_y")) & ((F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("id") < F.col("id_y"))))
+    rest = common.written(_pairs(rows.withColumn("band", band("n")), y, ["token", "band"], other), "pairs", release=True)
+    links = common.written(_links(rest, sets, percent).unionByName(first), "links", release=True)
+    for gone in (lists, heads, rows, opened, rest):
+        common.forget(gone)
+    return common.components(links, "components")
 
 
 def similar(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_shingles, component_id): the smallest key that links reach from each row."""
-    spark = docs.sparkSession
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    kept = common.written(classes(docs, n, text, key), "classes")
-    found, least = hot_tokens(docs, n, text)
-    hot = spark.sparkContext.broadcast(found)
-    shared = shared_values(texts, lambda s: np.sort(_first_prefix(s, n, hot.value, percent)[0]), "token")
-    rows = _prefixes(texts, n, hot, percent).join(shared, "token").dropDuplicates(["token", "class"])
-    rows = common.written(rows, "lists", release=True)
-    lengths = rows.groupBy("token").agg(F.count("*").alias("length"), F.min("class").alias("pivot")).where("length > 1")
-    sizes = kept.select("class", F.col("n_shingles").alias("n")).distinct()
-    rows = common.written(rows.join(lengths, "token").join(sizes, "class"), "lengths", release=True)
-    limit = max(LIST, least)
-    long = rows.where((F.col("length") > limit) & (F.col("class") != F.col("pivot"))).select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-    clusters = common.components(long, "clusters").withColumnRenamed("component", "cluster").withColumnRenamed("node", "class")
-    clusters = common.written(clusters, "clusters")
-    # Pairs of one cluster are left to the cluster.
-    short = rows.where(F.col("length") <= limit).join(clusters, "class", "left").select("token", "class", "n", "cluster")
-    other = short.select("token", F.col("class").alias("b"), F.col("n").alias("m"), F.col("cluster").alias("d"))
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("class") < F.col("b"))
-    apart = ~F.coalesce(F.col("cluster") == F.col("d"), F.lit(False))
-    pairs = common.written(short.join(other, "token").where(fits & apart).select(F.col("class").alias("a"), "b").distinct(), "pairs", release=True)
-    # Sets of the classes that are in a pair or a cluster, each read from its first document.
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).union(clusters.select("class")).distinct()
-    chosen = kept.groupBy("class").agg(F.min_by("key", F.struct(F.col("key").isNull(), "key")).alias("at")).join(wanted, "class")
-    bodies = zipped(texts).join(chosen.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("at")))
-    bodies = common.written(_own(bodies, n), "bodies", release=True)
-    x = bodies.select(F.col("class").alias("a"), F.col("body").alias("x"))
-    y = bodies.select(F.col("class").alias("b"), F.col("body").alias("y"))
-    links = common.written(_verified(pairs.join(x, "a").join(y, "b"), hot, n, percent), "links", release=True)
-    links = links.unionByName(_cluster_links(clusters.join(bodies, "class").join(sizes, "class"), n, percent))
-    linked = common.components(links, "links").withColumnRenamed("node", "class")
-    grouped = kept.join(linked, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    names = grouped.where("n_shingles > 0").groupBy("component").agg(F.min("key").alias("component_id"))
-    named = grouped.where("n_shingles > 0").join(names, "component").select("key", "n_shingles", "component_id")
-    empty = grouped.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
-    return named.unionByName(empty).withColumnRenamed("key", key)
-
+    found = common.written(_sets(texts, n, percent), "found", release=True)
+    sets = found.where("tokens is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    sets = common.written(sets.withColumn("id", F.monotonically_increasing_id()), "sets", release=True)
+    counted = common.written(_counted(sets, percent), "counted", release=True)
+    names = linked(counted, percent)
+    roots = sets.select(F.col("id").alias("component"), F.col("class").alias("root"))
+    roots = names.join(roots, "component").join(sets.select(F.col("id").alias("node"), "class"), "node").select("class", "root")
+    rows = found.select("key", "n", "class").join(common.written(roots, "roots"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rows = common.written(rows.select("key", "n", "root"), "rows", release=True)
+    least = common.written(rows.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id")), "least")
+    named = rows.where("n > 0").join(least, "root").select("key", "n", "component_id")
+    empty = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
+    return named.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
