@@ -1,78 +1,20 @@
-"""Texts and hashes on their way through a shuffle."""
+"""Compressed texts on their way through a shuffle."""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 from .words import buffers, slices
 
 
-def row_name(raw: bytes) -> int:
-    """A 64-bit name of a text; with an id it tells rows apart."""
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
-def shared_values(texts: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], name: str) -> DataFrame:
-    """Values (64-bit hashes, each once for a row) that at least two rows of ``texts`` hold.
-
-    ``texts`` has (key, text). A task packs its values by buckets and sends at
-    most two of each, so a hot value costs two per task; a bucket's values meet
-    in one group. There are as many buckets as shuffle partitions times 16.
-    """
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = int(np.ceil(np.log2(16 * partitions)))
-    buckets, shift = 1 << bits, np.uint64(64 - bits)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def packed() -> pa.RecordBatch:
-            m = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
-            third = np.zeros(len(m), bool)
-            third[2:] = m[2:] == m[:-2]
-            m = m[~third]
-            first = np.searchsorted(m >> shift, np.arange(buckets + 1).astype(np.uint64))
-            full = np.flatnonzero(np.diff(first))
-            offsets = pa.array((np.append(first[full], len(m)) * 8).astype(np.int32)).buffers()[1]
-            data = pa.Array.from_buffers(pa.binary(), len(full), [None, offsets, pa.py_buffer(m.tobytes())])
-            held.clear()
-            return pa.record_batch([pa.array(full.astype(np.int32)), data], ["bucket", name])
-
-        for b in batches:
-            for s in slices(b):
-                held.append(values(s))
-                if sum(map(len, held)) > 1 << 22:
-                    yield packed()
-        yield packed()
-
-    def unpack(group: pa.Table) -> pa.Table:
-        m = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in group[name].to_pylist()]))
-        again = np.zeros(len(m), bool)
-        again[1:] = m[1:] == m[:-1]
-        return pa.table({name: pa.array(np.unique(m[again]).view(np.int64))})
-
-    return texts.mapInArrow(pack, f"bucket int, {name} binary").groupBy("bucket").applyInArrow(unpack, f"{name} long")
-
-
-def zipped(texts: DataFrame) -> DataFrame:
-    """Rows (key, row, body): compressed texts, for the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            for s in slices(b):
-                data, offsets = buffers(s.column(1))
-                raw = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.record_batch([s.column(0), pa.array(map(row_name, raw), pa.int64()), pa.array(map(squeeze, raw), pa.binary())], ["key", "row", "body"])
+def compressed(texts: pa.Array) -> pa.Array:
+    import zstandard
 
-    return texts.mapInArrow(run, "key long, row long, body binary")
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    data, offsets = buffers(texts)
+    return pa.array([squeeze(data[i:j].tobytes()) for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
 
 
 def unzipped(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

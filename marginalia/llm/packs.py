@@ -1,11 +1,12 @@
 """Packs: 64-bit values of many rows to their equals and back, in two shuffles.
 
-A task gathers the values of its rows into packs of about ``PACK`` values and
-sorts them. Each pack is cut into buckets by the values' first bits, and equal
+A task gathers the values of its rows into packs of about ``PACK`` values, sorts
+them and folds equal ones, so that a pack sends each value once, however often
+it holds it. Each pack is cut into buckets by the values' first bits, and equal
 values of all packs meet in a bucket's group, as sorted arrays and not as rows.
 What the group decides on goes back to the packs it came from, where the rows'
-own columns (notes) wait. A value of any frequency is an array there, never a
-list of pairs; buckets and packs are bounded, whatever the values are.
+own columns (notes) and the places of folded values wait. The hottest value of
+all costs an entry a pack; buckets and packs are bounded, whatever the values.
 
 Packs are numbered by task, so the rows of ``rows`` must come in the same order
 when a task runs again: read them from files.
@@ -20,8 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Values and rows of a pack.
-PACK, PACK_ROWS = 1 << 21, 1 << 17
+from . import common
+
+#: Values, rows and units of a pack.
+PACK, PACK_ROWS, PACK_UNITS = 1 << 20, 1 << 17, 1 << 30
+#: Marks the number of a value that a pack holds more than once.
+_FOLDED = np.uint32(1 << 31)
 _MOVED = "bucket long, pack long, n int, data binary, notes binary"
 
 
@@ -46,37 +51,49 @@ def binaries(parts: np.ndarray, bounds: np.ndarray, missing: np.ndarray | None =
     return out if missing is None else pa.compute.if_else(pa.array(~missing), out, pa.scalar(None, pa.binary()))
 
 
-def alike(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that brings equal values together, and the first of each group in it (and the end)."""
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    return order, np.append(first, len(v))
+def starts(values: np.ndarray) -> np.ndarray:
+    """The first of each run of equal values."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def counted(first: np.ndarray, n: int) -> list[np.ndarray]:
+    """A fold that counts the values of each group."""
+    return [np.diff(np.append(first, n)).astype(np.uint32)]
+
+
+def repeated(first: np.ndarray, n: int, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Decides for values that occur more than once."""
+    return np.add.reduceat(count, first) > 1 if n else np.zeros(0, bool), []
 
 
 def exchange(
     rows: DataFrame,
     kernel: Callable[[pa.RecordBatch, set], Iterator[tuple]],
+    fold: Callable[..., list[np.ndarray]],
     decide: Callable[..., tuple[np.ndarray, list[np.ndarray]]],
     assemble: Callable[..., pa.Table],
     schema: str,
-    extra: list,
+    state: list,
     back: list,
+    values_back: bool = False,
 ) -> DataFrame:
     """Rows of ``schema`` from ``assemble``.
 
     ``kernel(batch, seen)`` yields (values, units, number of units, extra
     columns, notes): units number what a value belongs to, from 0 in each yield,
     and notes is a record batch; ``seen`` is a set of the current pack.
-    ``decide(values, *extra)`` gets all values of a bucket and gives a mask of
-    those that go back and columns for these. ``assemble(notes, units, *columns)``
-    gets a pack's notes and what came back to it, by unit. ``extra`` and
-    ``back`` are the types of the columns on either way.
+    ``fold(first, n, *extra)`` gets a pack's columns by value, n rows of which
+    ``first`` begin a group, and gives columns of types ``state`` for the groups.
+    ``decide(first, n, *state)`` gets what a bucket received, also by value, and
+    gives a mask of the groups that go back and columns of types ``back``.
+    ``assemble(notes, units, *columns)`` gets a pack's notes and what came back
+    to its units; the values are the first column if ``values_back``.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bits = max(1, int(np.ceil(np.log2(2 * partitions))))
     shift = np.uint64(64 - bits)
     names = ["bucket", "pack", "n", "data", "notes"]
+    returned = ["u4", *(["u8"] if values_back else []), *back]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -89,26 +106,34 @@ def exchange(
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
             held.clear()
             order = np.argsort(columns[0])
-            columns = [c[order] for c in columns]
+            values, unit, *more = (c[order] for c in columns)
+            del columns, order
+            first = starts(values)
+            sizes = np.diff(np.append(first, len(values)))
+            many = sizes > 1
+            place = np.where(many, (np.cumsum(many) - 1).astype(np.uint32) | _FOLDED, unit[first]) if len(first) else unit
+            folded = [sizes[many].astype(np.uint32), unit[np.repeat(many, sizes)]]
+            columns = [values[first], place, *fold(first, len(values), *more)]
             bounds = np.searchsorted(columns[0] >> shift, np.arange((1 << bits) + 1).astype(np.uint64))
             full = np.flatnonzero(np.diff(bounds))
             for at in range(0, len(full), 1024):
                 part = full[at : at + 1024]
                 data = [b"".join(planes(c[bounds[i] : bounds[i + 1]]) for c in columns) for i in part.tolist()]
-                sizes = np.diff(bounds)[part].astype(np.int32)
-                yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), number)), pa.array(sizes), pa.array(data, pa.binary()), pa.nulls(len(part), pa.binary())], names)
+                counts = np.diff(bounds)[part].astype(np.int32)
+                yield pa.record_batch([pa.array(part), pa.array(np.full(len(part), number)), pa.array(counts), pa.array(data, pa.binary()), pa.nulls(len(part), pa.binary())], names)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, notes[0].schema) as out:
                 for b in notes:
                     out.write_batch(b)
-            yield pa.record_batch([pa.array([-1 - number]), pa.array([number]), pa.array([0], pa.int32()), pa.array([b""], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
+            kept = b"".join(x.tobytes() for x in folded)
+            yield pa.record_batch([pa.array([-1 - number]), pa.array([number]), pa.array([len(folded[0])], pa.int32()), pa.array([kept], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names)
 
         for b in batches:
             for values, unit, n, more, note in kernel(b, seen):
                 held.append((values, (unit + units).astype(np.uint32), *more))
                 notes.append(note)
                 units, size, lines = units + n, size + len(values), lines + note.num_rows
-                if size >= PACK or lines >= PACK_ROWS:
+                if size >= PACK or lines >= PACK_ROWS or units >= PACK_UNITS:
                     yield from packed()
                     notes, seen, units, size, lines = [], set(), 0, 0, 0
                     number += 1
@@ -119,26 +144,38 @@ def exchange(
         if key[0].as_py() < 0:
             return table
         n = table["n"].to_numpy()
-        parts = [unplanes(x, ["u8", "u4", *extra], k) for x, k in zip(table["data"].to_pylist(), n.tolist(), strict=True)]
-        values, units, *more = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        parts = [unplanes(x, ["u8", "u4", *state], k) for x, k in zip(table["data"].to_pylist(), n.tolist(), strict=True)]
+        values, place, *states = [np.concatenate(c) for c in zip(*parts, strict=True)]
         del parts
-        keep, columns = decide(values, *more)
-        of = np.repeat(np.arange(len(n)), n)[keep]
-        bounds = np.searchsorted(of, np.arange(len(n) + 1))
+        order = np.argsort(values, kind="stable")
+        first = starts(values[order])
+        keep, columns = decide(first, len(values), *(c[order] for c in states))
+        group = np.empty(len(values), np.int64)
+        group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(values))))
+        chosen = np.flatnonzero(keep[group])
+        columns = [place[chosen], *([values[chosen]] if values_back else []), *(c[group[chosen]] for c in columns)]
+        bounds = np.searchsorted(chosen, np.concatenate([[0], np.cumsum(n)]))
         full = np.flatnonzero(np.diff(bounds))
-        columns = [units[keep], *columns]
         data = [b"".join(planes(c[bounds[i] : bounds[i + 1]]) for c in columns) for i in full.tolist()]
-        sizes = np.diff(bounds)[full].astype(np.int32)
-        return pa.table([pa.array(np.full(len(full), key[0].as_py())), table["pack"].combine_chunks().take(pa.array(full)), pa.array(sizes), pa.array(data, pa.binary()), pa.nulls(len(full), pa.binary())], names)
+        counts = np.diff(bounds)[full].astype(np.int32)
+        return pa.table([pa.array(np.full(len(full), key[0].as_py())), table["pack"].combine_chunks().take(pa.array(full)), pa.array(counts), pa.array(data, pa.binary()), pa.nulls(len(full), pa.binary())], names)
 
     def home(table: pa.Table) -> pa.Table:
-        n = table["n"].to_numpy()
-        notes = next(pa.ipc.open_stream(x).read_all() for x in table["notes"].to_pylist() if x is not None)
-        kinds = ["u4", *back]
-        parts = [unplanes(x, kinds, k) for x, k in zip(table["data"].to_pylist(), n.tolist(), strict=True) if k]
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
-        order = np.argsort(columns[0], kind="stable")
-        return assemble(notes.combine_chunks(), *(c[order] for c in columns))
-
-    met = rows.mapInArrow(pack, _MOVED).groupBy("bucket").applyInArrow(meet, _MOVED)
+        common.trim()
+        n, data, notes = table["n"].to_pylist(), table["data"].to_pylist(), table["notes"].to_pylist()
+        own = next(i for i, x in enumerate(notes) if x is not None)
+        sizes = np.frombuffer(data[own], np.uint32, n[own]).astype(np.int64)
+        folded = np.frombuffer(data[own], np.uint32, offset=4 * n[own])
+        parts = [unplanes(x, returned, k) for i, (x, k) in enumerate(zip(data, n, strict=True)) if i != own]
+        place, *columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in returned]
+        many = place >= _FOLDED
+        which = (place[many] & ~_FOLDED).astype(np.int64)
+        reach = np.cumsum(sizes[which])
+        inside = np.repeat(np.cumsum(sizes)[which] - reach, sizes[which]) + np.arange(reach[-1] if len(reach) else 0)
+        units = np.concatenate([place[~many], folded[inside]])
+        columns = [np.concatenate([c[~many], np.repeat(c[many], sizes[which])]) for c in columns]
+        order = np.argsort(units, kind="stable")
+        return assemble(pa.ipc.open_stream(notes[own]).read_all().combine_chunks(), units[order], *(c[order] for c in columns))
+
+    met = common.mapped(rows, pack, _MOVED).groupBy("bucket").applyInArrow(meet, _MOVED)
     return met.groupBy("pack").applyInArrow(home, schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .packs import alike, binaries, exchange
+from .packs import binaries, counted, exchange, repeated
 from .words import grams, mix, slices, words
 
 #: Seeds of the token orders.
@@ -127,14 +127,7 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
         few = (held == 0) | (100 * held < percent * sizes)
         return notes.append_column("tokens", binaries(tokens[order], first, few))
 
-    return exchange(docs, kernel, _shared, assemble, _SETS, [], ["u8"])
-
-
-def _shared(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    order, bounds = alike(values)
-    keep = np.zeros(len(values), bool)
-    keep[order] = np.repeat(np.diff(bounds) > 1, np.diff(bounds))
-    return keep, [values[keep]]
+    return exchange(docs, kernel, counted, repeated, assemble, _SETS, ["u4"], [], values_back=True)
 
 
 def _counted(sets: DataFrame, percent: int) -> DataFrame:
@@ -145,12 +138,9 @@ def _counted(sets: DataFrame, percent: int) -> DataFrame:
             tokens = [np.frombuffer(x, np.uint64) for x in s.column(2).to_pylist()]
             yield np.concatenate(tokens), np.repeat(np.arange(len(tokens)), list(map(len, tokens))), len(tokens), [], s.select([0, 1])
 
-    def decide(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        order, bounds = alike(values)
-        count = np.empty(len(values), np.int64)
-        count[order] = np.repeat(np.diff(bounds), np.diff(bounds))
-        keep = count > 1
-        return keep, [values[keep], np.minimum(8 * np.log2(count[keep]), 255).astype(np.uint8)]
+    def decide(first: np.ndarray, n: int, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        total = np.add.reduceat(count.astype(np.int64), first) if n else np.zeros(0, np.int64)
+        return total > 1, [np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)]
 
     def assemble(notes: pa.Table, units: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> pa.Table:
         sizes = notes["n"].to_numpy()
@@ -160,7 +150,7 @@ def _counted(sets: DataFrame, percent: int) -> DataFrame:
         out = notes.append_column("tokens", binaries(tokens[order], first)).append_column("levels", binaries(levels[order], first))
         return out.filter(enough)
 
-    return exchange(sets.select("id", "n", "tokens"), kernel, decide, assemble, _COUNTED, [], ["u8", "u1"])
+    return exchange(sets.select("id", "n", "tokens"), kernel, counted, decide, assemble, _COUNTED, ["u4"], ["u1"], values_back=True)
 
 
 def _lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +174,7 @@ def _lists(sets: DataFrame, percent: int) -> DataFrame:
                 reach = (100 + percent) * (sizes[row] - place) // percent - sizes[row]
                 yield pa.record_batch([pa.array(x) for x in (flat[at].view(np.int64), ids[row], sizes[row], reach, (held / sizes)[row])], ["token", "id", "n", "reach", "common"])
 
-    return sets.mapInArrow(run, "token long, id long, n long, reach long, common double")
+    return common.mapped(sets, run, "token long, id long, n long, reach long, common double")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +207,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"), F.col("levels").alias("l_a"))
     y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"), F.col("levels").alias("l_b"))
     both = pairs.join(x, "a").join(y, "b").select("a", "n_a", "t_a", "l_a", "b", "n_b", "t_b", "l_b")
-    return both.mapInArrow(run, "a long, b long")
+    return common.mapped(both, run, "a long, b long")
 
 
 def _pairs(x: DataFrame, y: DataFrame, on: list[str], where: F.Column) -> DataFrame:

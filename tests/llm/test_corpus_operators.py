@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from marginalia.llm import common, mixing, repeated_spans, similar_documents, top_products
+from marginalia.llm import common, mixing, packs, repeated_spans, similar_documents, top_products
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -54,36 +54,36 @@ def components_by_hand(texts, n, percent):
     return [(len(s), root(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("n", "percent", "hot", "limit", "block"), [(4, 85, 1 << 17, 8, 256), (5, 80, 40, 2, 8)])
-def test_similar_documents(spark, texts, monkeypatch, n, percent, hot, limit, block):
-    monkeypatch.setattr(similar_documents, "HOT_TOKENS", hot)
-    monkeypatch.setattr(similar_documents, "HOT_IN_TASK", 1)
-    monkeypatch.setattr(similar_documents, "LIST", limit)
-    monkeypatch.setattr(similar_documents, "BLOCK", block)
+@pytest.mark.parametrize(("n", "percent", "pack"), [(4, 85, 1 << 21), (5, 80, 500), (2, 50, 1 << 21)])
+def test_similar_documents(spark, texts, monkeypatch, n, percent, pack):
+    monkeypatch.setattr(packs, "PACK", pack)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents.similar(frame(spark, texts), n, percent).collect()}
     assert [got[i] for i in range(len(texts))] == components_by_hand(texts, n, percent)
 
 
-def test_similar_documents_of_nothing(spark, texts):
-    assert similar_documents.similar(frame(spark, texts).limit(0)).count() == 0
+def test_chains_of_near_copies(spark):
+    """Neighbours link, others do not: pairs outside the representatives' own decide."""
+    rng = random.Random(5)
+    base, chained = [f"c{i}" for i in range(100)], []
+    for i in range(40):
+        base[(7 * i) % 100] = f"new{i}"
+        chained.append(" ".join(base))
+    fans = [" ".join([f"f{i}" for i in range(120)][:110] + [f"own{j}x{k}" for k in range(10)]) for j in range(20)]
+    many = chained + fans + [" ".join(rng.choice("abcdef") for _ in range(rng.randint(20, 60))) for _ in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_documents.similar(frame(spark, many), 4, 85).collect()}
+    assert [got[i] for i in range(len(many))] == components_by_hand(many, 4, 85)
 
 
-def test_blocks_of_a_cluster_find_all_links():
-    rng = random.Random(4)
-    sets = [np.array(sorted(rng.sample(range(40), 30)), np.uint64) for _ in range(60)]
-    side = [i % 2 for i in range(60)]
-    linked = {(i, j) for i in range(60) for j in range(60) if side[i] == 0 and side[j] == 1 and 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j]))}
-    found = similar_documents.block_links(list(range(60)), sets, side, 75)
-    assert set(found) <= linked
+def test_similar_rows_that_share_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(4, text, "s"), (4, "other words stand here now", "s"), (2, text, "s"), (None, "none has this", "s"), (7, text, "s"), (7, text, "s")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as n", "2 as class", "3 as key", "4 as tokens")
+    got = Counter(map(tuple, similar_documents.similar(docs).collect()))
+    assert got == {(4, 27, 2): 1, (4, 2, 4): 1, (2, 27, 2): 1, (None, 1, None): 1, (7, 27, 2): 2}
 
-    def groups(links):
-        parent = list(range(60))
-        for _ in range(60):
-            for a, b in links:
-                parent[a] = parent[b] = min(parent[a], parent[b])
-        return parent
 
-    assert groups(found) == groups(linked)
+def test_similar_documents_of_nothing(spark, texts):
+    assert similar_documents.similar(frame(spark, texts).limit(0)).count() == 0
 
 
 def kept_by_hand(rows, k):
@@ -101,14 +101,39 @@ def kept_by_hand(rows, k):
     return out
 
 
-def test_repeated_spans(spark, texts):
-    got = {r.doc_id: r for r in repeated_spans.deduplicate(frame(spark, texts)).collect()}
+@pytest.mark.parametrize(("bits", "pack"), [(64, 1 << 21), (9, 700)])
+def test_repeated_spans(spark, texts, monkeypatch, bits, pack):
+    """With 9 bits, unlike windows and nodes collide everywhere."""
+    monkeypatch.setattr(packs, "PACK", pack)
+    got = {r.doc_id: r for r in repeated_spans.deduplicate(frame(spark, texts), bits=bits).collect()}
     want = kept_by_hand([(i, words(t)) for i, t in enumerate(texts)], 13)
     assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in got.items()} == want
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got.values())
     assert repeated_spans.deduplicate(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_branching_paths(spark):
+    """Passages that share beginnings, middles and ends branch; each part has an owner of its own."""
+    rng = random.Random(8)
+    some = lambda p, n: [f"{p}{rng.randint(0, 10**6)}" for _ in range(n)]
+    a, b, c, d = (some(p, 25) for p in "abcd")
+    rows = [a + b, a + c, d + b, a + b + c, some("x", 5) + b[3:] + c[:14], c[5:20] + a[:13], b + a, (a[:4] + b[:4]) * 9, d[:12] + b, a + d + a]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeated_spans.deduplicate(frame(spark, [" ".join(x) for x in rows])).collect()}
+    assert got == kept_by_hand(list(enumerate(rows)), 13)
+
+
+def test_nodes_of_runs():
+    """Every node of a run comes with a hash of the edges beside it, none at its ends."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(10))
+    runs = np.array([[1, 3]], np.int32).tobytes()
+    s = pa.record_batch([pa.array([1, 2]), pa.array([b"a", b"b"]), pa.array([text, "z " + text]), pa.array([runs, np.array([[2, 3]], np.int32).tobytes()])], ["key", "whole", "text", "runs"])
+    node, beside, at, n = repeated_spans.run_nodes(s, 3)
+    assert at.tolist() == [1, 2, 3, 4, 12, 13, 14, 15] and n == 21
+    assert node[:4].tolist() == node[4:].tolist() and beside[:4].tolist() == beside[4:].tolist() and len(set(beside.tolist())) == 4
+
+
 def test_repeated_rows_and_ids(spark):
     long = " ".join(f"w{i}" for i in range(30))
     rows = [(1, long, "s"), (1, long, "s"), (1, "other " + long, "s"), (2, long, "s"), (None, long, "s")]
