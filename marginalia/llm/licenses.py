@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .words import buffers, slices
 
 #: The phrases counted as base places, with their labels.
@@ -187,4 +188,4 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 yield pa.record_batch([s.column(0), *columns], _NAMES)
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, SCHEMA).withColumnRenamed("key", key)
+    return common.mapped(chosen, run, SCHEMA).withColumnRenamed("key", key)

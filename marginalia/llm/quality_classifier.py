@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .words import Words, grams, slices, span_hashes, words
 from .words import lines as split_lines
 
@@ -217,7 +218,7 @@ def train(
                     packed.append(x[pick].tobytes())
                 yield pa.record_batch([s.column(0), s.column(2), pa.array(packed, pa.binary())], ["key", "label", "bag"])
 
-    rows = bags.select("key", "text", "label").mapInArrow(run, "key long, label int, bag binary").toPandas()
+    rows = common.mapped(bags.select("key", "text", "label"), run, "key long, label int, bag binary").toPandas()
     if rows.empty or rows["label"].nunique() < 2:
         return None
     rows = rows.sort_values(["key", "label", "bag"], kind="stable")
@@ -241,4 +242,4 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
                 x, first = encode(s.column(s.schema.get_field_index(text)))
                 yield pa.record_batch([*s.columns, pa.array(model.forward(x, first)["score"])], [*names, name])
 
-    return base.mapInArrow(run, schema)
+    return common.mapped(base, run, schema)

@@ -129,7 +129,7 @@ def features(docs: DataFrame, text: str = "text", key: str = "doc_id", lang: str
                 yield pa.record_batch([s.column(0), s.column(1), *counts, *lists], _NAMES)
 
     chosen = docs.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, FEATURES)
+    return common.mapped(chosen, run, FEATURES)
 
 
 _NAMES = ["key", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common"]

@@ -6,12 +6,15 @@ other characters, and its ids are the chunks' ids in order. Each distinct chunk
 is segmented once in a worker, and ids are joined back by position. A model
 for which this does not hold, or that rewrites text, gets whole texts instead.
 
-The table of chunks lives in the worker: joining every word of the corpus to a
-global table through a shuffle would move several times the input.
+The table of chunks lives in the worker and is bounded by its characters. A
+table of the corpus would have to be joined to every word: on 0.1 GB, 26 million
+words of which 1.76 million are distinct, that is 8 bytes of hash and 4 of
+position for each word on the way and as many for its ids on the way back, three
+times the input. Tens of MB of text hold each of their chunks 6.6 times, the corpus 15.
 
 Defined results: a null or empty text has no ids and decodes to the empty
-string; every row is returned, repeated ones too; no rows give no rows; all
-other columns are kept, and ``ids`` or ``decoded`` replace columns so named.
+string; every row is returned, repeated ones too; no rows give no rows; very
+long texts are encoded whole; all other columns are kept, and ``ids`` or ``decoded`` replace columns so named.
 """
 
 from __future__ import annotations
@@ -26,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
 from .words import slices
 
-#: Chunks a worker's table may hold; beyond it the table starts anew.
-TABLE_CHUNKS = 500_000
+#: Bytes of text segmented at a time, and characters a worker's table may hold
+#: between them; beyond it the table starts anew. Each of its chunks costs about
+#: 200 bytes more.
+BATCH_BYTES, TABLE_CHARS = 1 << 21, 1 << 20
 MARK = "▁"
 _CHUNK = re.compile(r" *[^ ]+| +")
 
@@ -54,12 +60,14 @@ class Pieces:
 
     def reset(self) -> None:
         self.place: dict[str, int] = {}
+        self.chars = 0
         self.starts = np.zeros(1, np.int64)  # chunk -> its first id in flat; one more entry than chunks
         self.flat = np.zeros(0, np.int32)
 
     def add(self, chunks: list[str]) -> None:
         """Segments chunks and appends them to the table, whose arrays double when full."""
         n = len(self.place)
+        self.chars += sum(map(len, chunks))
         self.place.update(zip(chunks, range(n, n + len(chunks)), strict=True))
         got = self.model.encode(chunks, num_threads=1)
         # A lone mark is what encode("") leaves out.
@@ -101,7 +109,7 @@ class Pieces:
         known = coded.dictionary.to_pylist()
         place = self.place
         new = list({c for c in [*known, *chunks] if c not in place})
-        if len(place) + len(new) > TABLE_CHUNKS:
+        if self.chars > TABLE_CHARS:
             self.reset()
             place = self.place
             new = list({*known, *chunks})
@@ -120,8 +128,10 @@ class Pieces:
         order[np.flatnonzero(mask)] = np.arange(len(plain), len(texts))
         return found.take(pa.array(order)) if mask.any() else found
 
-    def decode(self, ids: list[list[int] | None]) -> list[str]:
-        return self.model.decode([x or [] for x in ids]) if ids else []
+    def decode(self, ids: pa.Array) -> list[str]:
+        flat, sizes = ids.flatten().to_pylist() if ids.flatten().null_count else np.asarray(ids.flatten()).tolist(), pc.list_value_length(ids).fill_null(0)
+        ends = np.cumsum(np.asarray(sizes)).tolist()
+        return self.model.decode([flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]) if ends else []
 
 
 def _mapped(docs: DataFrame, path: str, source: str, target: str, kind: T.DataType, convert) -> DataFrame:
@@ -134,11 +144,11 @@ def _mapped(docs: DataFrame, path: str, source: str, target: str, kind: T.DataTy
         pieces = Pieces.of(path)
         for b in batches:
             column = b.schema.get_field_index(source)
-            cut = slices(b, source) if pa.types.is_string(b.schema.field(column).type) or pa.types.is_large_string(b.schema.field(column).type) else (b.slice(i, 64) for i in range(0, b.num_rows, 64))
+            cut = slices(b, source, BATCH_BYTES) if pa.types.is_string(b.schema.field(column).type) or pa.types.is_large_string(b.schema.field(column).type) else (b.slice(i, 256) for i in range(0, b.num_rows, 256))
             for s in cut:
                 yield pa.record_batch([*[s.column(s.schema.get_field_index(n)) for n in names], convert(pieces, s.column(column))], [*names, target])
 
-    return base.mapInArrow(run, schema)
+    return common.mapped(base, run, schema)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -154,7 +164,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     """Adds ``decoded`` (string): the text of each list of ids; null ids decode as none."""
 
     def convert(pieces: Pieces, column: pa.Array) -> pa.Array:
-        return pa.array(pieces.decode(column.to_pylist()), pa.string())
+        return pa.array(pieces.decode(column), pa.string())
 
     return _mapped(docs, path, ids, decoded, T.StringType(), convert)
 

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of each of the two generations of a worker's table of words.
-TABLE_WORDS = 350_000
+#: Entries of each of the two generations of a worker's table of words, and the
+#: characters of the longest word it keeps.
+TABLE_WORDS, TABLE_WORD = 300_000, 64
 CACHE_SCHEMA = "tokenizer string, content string, n_tokens long"
 
 
@@ -91,16 +92,18 @@ class Counter:
         table, older = self.table, self.older
         if len(table) > TABLE_WORDS:  # words in use move from the older generation to the new one
             self.table, self.older = table, older = {}, table
-        missing = []
+        missing, total = [], 0
         for w in {w for w in words if w not in table}:
-            if (n := older.get(w)) is None:
+            if len(w) > TABLE_WORD:
+                total += words.count(w) * self.encode([w])[0]
+            elif (n := older.get(w)) is None:
                 missing.append(w)
             else:
                 table[w] = n
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
             table.update(zip(part, self.encode(part), strict=True))
-        return sum(map(table.__getitem__, words))
+        return total + sum(table[w] for w in words if len(w) <= TABLE_WORD)
 
 
 def ascii_split(text: str) -> list[str]:
@@ -148,5 +151,5 @@ def token_counts(
                 counts = [counter.count(x.as_py()) for x in b.column(1)]
                 yield pa.record_batch([pa.array([version] * len(counts)), b.column(0), pa.array(counts, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
-        bodies.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
+        common.mapped(bodies, encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     return keyed.drop("body").join(stored(), "content").select(F.col("key").alias(key), "n_bytes", "n_tokens")

@@ -136,7 +136,7 @@ def _scored(pairs: DataFrame, k: int) -> DataFrame:
                 at = np.array(at, np.int64)
                 yield pa.record_batch([pa.array(x, pa.int64()) for x in (names[at], q_ids[at], ids, scores)], ["name", "query_id", "vec_id", "score"])
 
-    return pairs.select("dim", "q_names", "q_ids", "q_data", "floors", "ids", "data").mapInArrow(run, _SCORES)
+    return common.mapped(pairs.select("dim", "q_names", "q_ids", "q_data", "floors", "ids", "data"), run, _SCORES)
 
 
 def top_products(

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; the kernels need about 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _PRIME = 0x9E3779B97F4A7C15
@@ -131,14 +131,14 @@ def grams(hashes: np.ndarray, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]
     return mix(out), at
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows of at most SLICE_BYTES, or of one row."""
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch into runs of rows of at most ``size`` bytes, or of one row."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
 
