@@ -1,7 +1,8 @@
 """Personal data: pattern spans and information-theoretic sanitisation.
 
-Base spans are e-mail and IP addresses, card and phone numbers. Beyond them,
-terms that reveal such an entity are sanitised too: the corpus tells in how
+Base spans are e-mail and IP addresses, card and phone numbers; keys and other
+secrets are entities too, with spans of their own. Beyond them, terms that
+reveal such an entity are sanitised: the corpus tells in how
 many distinct texts a term stands beside an entity, and in how many at all.
 With N texts, n(k) of them holding k, a kind or one entity of it, the share
 
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-RESULTS = ("email", "ip", "card", "phone", "term", "redacted")
+#: Kinds of entities that are protected: the base kinds, and secrets.
+ENTITIES = (*KINDS, "secret")
+RESULTS = (*ENTITIES, "term", "redacted")
 #: Possessive forms of the kinds' patterns: they match the same spans, in
 #: linear time and without recursion. An address starts where a run of its
 #: characters starts, or where the match before it ended.
@@ -43,9 +46,12 @@ PATTERNS = {
     "ip": r"[0-9]++(?:\.[0-9]++){3}+",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    # Runs of hexadecimal digits as long as a digest, keys of known forms, and what is assigned to a name of a secret.
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9-]{20,})(?![A-Za-z0-9])"
+    r"|(?<=(?i:token|secret|password|passwd|api[_-]?key)[\x20]{0,2}[:=][\x20]{0,2}[\x22\x27])[^\s\x22\x27]{8,}",
 }
 #: What a text must hold for the pattern to be worth a look.
-HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]"}
+HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?+[0-9]){12}", "phone": r"\+[0-9]", "secret": r"[0-9a-f]{32}|[0-9A-F]{32}|AKIA|gh[opsu]_|sk-|[:=][\x20]{0,2}[\x22\x27]"}
 SPANS = "array<struct<start:int,end:int,value:string>>"
 TERMS = "array<struct<start:int,end:int,value:string,kind:string,removed:boolean>>"
 #: Blanks and signs between terms, after lower-casing.
@@ -102,7 +108,7 @@ def base_spans(text: Column, kind: str) -> Column:
 def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds one array of spans per kind."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.drop(*RESULTS).withColumns({k: base_spans(body, k) for k in KINDS})
+    return docs.drop(*RESULTS).withColumns({k: base_spans(body, k) for k in ENTITIES})
 
 
 def listed(*kinds: str) -> Column:
@@ -116,7 +122,7 @@ def listed(*kinds: str) -> Column:
 
 def outside(text: Column) -> Column:
     """The text with a line end for each base span, so that no span's own parts are terms."""
-    at = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS]))
+    at = F.array_sort(F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in ENTITIES]))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -148,17 +154,17 @@ def disclosing_terms(
     def of_kind(kind: str) -> Column:
         return F.transform(F.col(kind), lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value")))
 
-    held = F.array_distinct(F.concat(*map(of_kind, KINDS)))
+    held = F.array_distinct(F.concat(*map(of_kind, ENTITIES)))
     # Copies are folded, so that all counts are of distinct texts.
     texts = based.select(F.xxhash64(body).alias("doc"), F.array_join(terms_of(body), " ").alias("words"), held.alias("held")).dropDuplicates(["doc"])
     texts = common.written(texts, "texts", release=True)
-    holds = {k: F.array_contains(F.col("held.kind"), k) for k in KINDS}
+    holds = {k: F.array_contains(F.col("held.kind"), k) for k in ENTITIES}
     count = F.count("*").alias("n")
-    by_kind = F.explode(F.create_map(*[x for k in KINDS for x in (F.lit(k), F.col(k))]))
+    by_kind = F.explode(F.create_map(*[x for k in ENTITIES for x in (F.lit(k), F.col(k))]))
     kinds = texts.agg(count, *[F.count_if(c).alias(k) for k, c in holds.items()])
     term = F.explode(F.split("words", " ")).alias("term")
     frequency = texts.select(term, *[c.alias(k) for k, c in holds.items()]).where("term <> ''")
-    frequency = frequency.groupBy("term").agg(F.count("*").alias("n_term"), *[F.count_if(k).alias(k) for k in KINDS])
+    frequency = frequency.groupBy("term").agg(F.count("*").alias("n_term"), *[F.count_if(k).alias(k) for k in ENTITIES])
     frequency = common.written(frequency.where(F.col("n_term") >= min_texts), "frequency")
     # How much a term tells of a kind.
     joint = frequency.select("term", "n_term", by_kind.alias("kind", "n_joint")).where(F.col("n_joint") >= min_texts)
@@ -197,7 +203,7 @@ def sanitise(
         pattern = F.concat(F.lit(f"(?iu)(?<!{_LETTER})(?:"), F.array_join(F.array_distinct(F.transform("said", lambda t: t["term"])), "|"), F.lit(f")(?!{_LETTER})"))
 
         def apart(s: Column) -> Column:
-            return ~F.exists(F.concat(*map(F.col, KINDS)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+            return ~F.exists(F.concat(*map(F.col, ENTITIES)), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
         def judged(s: Column) -> Column:
             why = F.array_sort(F.filter(F.col("said"), lambda t: t["term"] == F.lower(s["value"])))
@@ -213,7 +219,7 @@ def redacted(text: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans count as one."""
     tag = lambda k: F.transform(F.col(k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("tag")))
     term = F.transform("term", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["removed"], "").otherwise(F.concat(F.lit("["), F.upper(F.coalesce(s["kind"], F.lit("term"))), F.lit(" TERM]"))).alias("tag")))
-    spans = F.array_sort(F.concat(*[tag(k) for k in KINDS], term))
+    spans = F.array_sort(F.concat(*[tag(k) for k in ENTITIES], term))
 
     def step(done: Column, s: Column) -> Column:
         fresh = s["start"] >= done["at"]

@@ -28,8 +28,9 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import pii as op
 
     found = op.sanitise(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in op.KINDS]
-    return found.select("doc_id", *counts, common.hex_digest(op.listed(*op.KINDS)).alias("base_sha256"), op.listed(*op.KINDS, "term").alias("spans"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*op.ENTITIES, "term")]
+    total = sum((F.size(k) for k in op.ENTITIES), F.lit(0)).cast("long").alias("n_entities")
+    return found.select("doc_id", *counts, total, common.hex_digest(op.listed(*op.KINDS)).alias("base_sha256"), op.listed(*op.ENTITIES, "term").alias("spans"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
