@@ -2,17 +2,20 @@
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words. Each passage is
 encoded by counts of its bytes and words; a gated attention layer weighs the
-passages, and a logistic layer scores the weighted sum together with the
-plain average. Weights are learned from document labels alone.
+passages, and a logistic layer scores their weighted sum. Weights are learned
+from document labels alone.
 
 Fitting takes at most ``max_fit_docs`` labelled rows, those with the smallest
-hashes, and sees only their passage encodings; scoring reads all rows.
+hashes, and sees only their passage encodings, all of them; scoring reads all
+rows.
 
 Defined results: a null or empty text is a bag of one empty passage and gets
 a score like any other; labels without a document, null labels and documents
 without a label are not used for fitting; conflicting labels of one id all
 count; without any labels every score is the prior 0.5; repeated rows and
-rows that share an id are each scored; no rows give no rows.
+rows that share an id are each scored; very long texts are bags of many
+passages; no rows give no rows; other columns stay, a column named like the
+score is replaced.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from .words import lines as split_lines
 PASSAGE_WORDS = 96
 #: The bound of the fitting sample, in documents.
 MAX_FIT_DOCS = 6000
-#: Passages of a document that fitting uses, spread over it; scoring uses all.
-FIT_PASSAGES = 48
 
 #: Bytes: lower, upper, digit, blank, line end, stop and comma, exclamation and
 #: question mark, other punctuation, symbols, control, continuation, longer characters.
@@ -134,7 +135,7 @@ class Model:
         draw = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
         return {
             "w1": draw(width, hidden), "b1": np.zeros(hidden), "v": draw(hidden, gate), "u": draw(hidden, gate),
-            "a": draw(gate, 1), "o": draw(2 * hidden, 1), "c": np.zeros(1),
+            "a": draw(gate, 1), "o": draw(hidden, 1), "c": np.zeros(1),
         }
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
@@ -146,18 +147,14 @@ class Model:
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, first[:-1]), sizes))
         weight = e / np.repeat(np.add.reduceat(e, first[:-1]), sizes)
         pooled = np.add.reduceat(h * weight[:, None], first[:-1])
-        average = np.add.reduceat(h, first[:-1]) / sizes[:, None]
-        z = np.concatenate([pooled, average], 1)
-        score = 1 / (1 + np.exp(-np.clip((z @ p["o"])[:, 0] + p["c"][0], -30, 30)))
-        return {"x": x, "h": h, "t": t, "g": g, "weight": weight, "pooled": pooled, "z": z, "score": score}
+        score = 1 / (1 + np.exp(-np.clip((pooled @ p["o"])[:, 0] + p["c"][0], -30, 30)))
+        return {"x": x, "h": h, "t": t, "g": g, "weight": weight, "pooled": pooled, "score": score}
 
     def gradients(self, f: dict[str, np.ndarray], first: np.ndarray, label: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, sizes = self.p, np.diff(first)
-        hidden = p["b1"].shape[0]
         d = ((f["score"] - label) * weight / weight.sum())[:, None]
-        dz = d @ p["o"].T
-        dpool, davg = np.repeat(dz[:, :hidden], sizes, 0), np.repeat(dz[:, hidden:] / sizes[:, None], sizes, 0)
-        dh = dpool * f["weight"][:, None] + davg
+        dpool = np.repeat(d @ p["o"].T, sizes, 0)
+        dh = dpool * f["weight"][:, None]
         # Softmax over a bag's passages.
         de = (f["weight"] * ((f["h"] - np.repeat(f["pooled"], sizes, 0)) * dpool).sum(1))[:, None]
         dtg = de @ p["a"].T
@@ -165,7 +162,7 @@ class Model:
         dh = (dh + dt @ p["v"].T + dg @ p["u"].T) * (f["h"] > 0)
         return {
             "w1": f["x"].T @ dh, "b1": dh.sum(0), "v": f["h"].T @ dt, "u": f["h"].T @ dg,
-            "a": (f["t"] * f["g"]).T @ de, "o": f["z"].T @ d, "c": d.sum(0),
+            "a": (f["t"] * f["g"]).T @ de, "o": f["pooled"].T @ d, "c": d.sum(0),
         }
 
 
@@ -212,10 +209,7 @@ def train(
         for b in batches:
             for s in slices(b):
                 x, first = encode(s.column(1))
-                packed = []
-                for i, j in zip(first[:-1], first[1:], strict=True):
-                    pick = np.unique(np.linspace(i, j - 1, min(j - i, FIT_PASSAGES)).astype(int))
-                    packed.append(x[pick].tobytes())
+                packed = [x[i:j].tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.record_batch([s.column(0), s.column(2), pa.array(packed, pa.binary())], ["key", "label", "bag"])
 
     rows = common.mapped(bags.select("key", "text", "label"), run, "key long, label int, bag binary").toPandas()
