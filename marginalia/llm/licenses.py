@@ -9,8 +9,8 @@ behind the tag in the raw text is parsed by the shunting-yard algorithm:
 Defined results: a null or empty text has no words, no places, null word
 positions, empty labels and score 0; an expression that does not parse gives
 the identifiers that it names and no verdict; repeated rows and rows that
-share an id are each returned; no rows give no rows; other columns of the
-input are ignored.
+share an id are each returned; very long texts are scanned whole; no rows give
+no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -107,6 +107,24 @@ def permits(postfix: list[str]) -> bool:
     return stack.pop()
 
 
+def licences(postfix: list[str]) -> set[str]:
+    """The licences of an expression; what stands behind ``with`` is an exception, not a licence."""
+    stack: list[set[str]] = []
+    for token in postfix:
+        if token in _RANK:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left | right)
+        else:
+            stack.append({token})
+    return stack.pop()
+
+
+def named(expression: str) -> set[str]:
+    """The identifiers of an expression that does not parse, exceptions left out."""
+    tokens = _TOKEN.findall(expression.lower())
+    return {t for before, t in zip([""] + tokens, tokens, strict=False) if t not in _RANK and t not in "()" and before != "with"}
+
+
 def expressions(text: str) -> list[str]:
     """The licence expressions behind identifier tags, cut where words stop alternating with operators."""
     found = []
@@ -145,9 +163,13 @@ def scan_text(raw: bytes, built) -> tuple:
     joined = f" {b' '.join(words).decode('latin-1')} "
     base: list[int] = []
     base_labels, labels, evidence, tagged = set(), set(), {}, False
+    at = word = 0  # blanks before ``at``
     for end, phrase in built.iter(joined):
         if phrase in BASE:
-            base.append(joined.count(" ", 0, end - len(phrase) - 1))
+            start = end - len(phrase) - 1
+            word += joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+            at = start
+            base.append(word)
             base_labels.add(BASE[phrase])
             evidence[BASE[phrase]] = max(evidence.get(BASE[phrase], 0), BASE_WEIGHT[BASE[phrase]])
         if phrase in NOTICES:
@@ -159,9 +181,9 @@ def scan_text(raw: bytes, built) -> tuple:
     permissive = None
     for e in parsed:
         postfix = to_postfix(e)
-        named = [t for t in postfix or _TOKEN.findall(e.lower()) if t not in _RANK and t not in "()"]
-        labels.update(named)
-        evidence.update(dict.fromkeys(named, 0.95))
+        found = licences(postfix) if postfix else named(e)
+        labels.update(found)
+        evidence.update(dict.fromkeys(found, 0.95))
         if postfix:
             permissive = (permissive is not False) and permits(postfix)
     doubt = 1.0
