@@ -10,7 +10,8 @@ out, and where the local cosine threshold is high enough, partial products
 over the block's strongest coordinates plus a bound on the rest leave out more
 (coordinate pruning). What remains is multiplied exactly in integers.
 
-Pairs of blocks are made from the bounds, so work is queries times blocks in
+Queries that need candidates of like length form chunks, and chunks pair with
+blocks by the buckets that are long enough, so work is chunks times blocks in
 matrix products; no pair of rows is ever a row of Spark.
 
 Defined results: vectors that are null or hold null or non-finite components
@@ -36,6 +37,8 @@ from . import common
 BLOCK = 2048
 #: Vectors are dealt to buckets by length in powers of this ratio.
 RATIO = 1.1
+#: Buckets by which the needs of a chunk's queries differ at most.
+STEP = 2
 #: Local cosine threshold from which coordinates are pruned.
 COORDINATES_FROM = 0.35
 #: Integers below this keep every sum of products exact in a double.
@@ -145,29 +148,37 @@ def top_products(
     """Rows (query_id, rank, vec_id, score): each query's k best candidates of ``vectors``."""
     packed = common.written(blocks(quantised(vectors, key, vector, scale)).withColumn("block", F.monotonically_increasing_id()), "blocks")
     asked = quantised(queries, key, vector, scale).withColumn("name", F.monotonically_increasing_id())
-    asked = common.written(asked.withColumn("slot", F.pmod(F.xxhash64("name"), F.lit(64))), "queries")
+    asked = common.written(asked, "queries")
     # First pass: each query meets the longest block of its dimension.
     heads = packed.groupBy("dim").agg(F.max_by("block", F.struct("longest", "n", "block")).alias("block")).join(packed, ["dim", "block"])
     none = asked.withColumn("floor", F.lit(float("-inf")))
 
     def grouped(rows: DataFrame, by: list[str]) -> DataFrame:
-        """Queries packed into rows of at most BLOCK, so that one group may hold all."""
-        row = F.row_number().over(Window.partitionBy(*by, "slot").orderBy("name"))
-        rows = rows.withColumn("chunk", F.floor(row / BLOCK))
-        packed_rows = rows.groupBy(*by, "slot", "chunk").agg(F.collect_list(F.struct("name", "id", "v", "floor")).alias("rows"))
-        return packed_rows.select(*by, F.col("rows.name").alias("q_names"), F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_data"), F.col("rows.floor").alias("floors"))
+        """Queries packed into chunks of about BLOCK by a hash, so that one group may hold all."""
+        sizes = rows.groupBy(*by).agg(F.count("*").alias("n_rows"))
+        slot = F.pmod(F.xxhash64("name"), F.ceil(F.col("n_rows") / (BLOCK * 3 // 4)).cast("long"))
+        dealt = rows.join(sizes, by).groupBy(*by, slot.alias("slot")).agg(F.collect_list(F.struct("name", "id", "v", "floor")).alias("rows"))
+        return dealt.select(*by, F.col("rows.name").alias("q_names"), F.col("rows.id").alias("q_ids"), F.flatten("rows.v").alias("q_data"), F.col("rows.floor").alias("floors"))
 
     first = common.written(_scored(grouped(none, ["dim"]).join(heads, "dim"), k), "first")
     reached = first.groupBy("name").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     floors = asked.join(reached, "name", "left").withColumn(
         "floor", F.when(F.col("n") >= k, F.col("floor").cast("double")).otherwise(float("-inf"))
     )
-    # Second pass: the blocks that a query's bound cannot rule out.
-    limits = packed.join(heads.select("block"), "block", "left_anti").select("dim", "block", "longest")
-    limits = limits.groupBy("dim").agg(F.collect_list(F.struct("longest", "block")).alias("limits"))
-    far = F.filter("limits", lambda b: (F.col("floor") <= 0) | (b["longest"] * F.sqrt("norm2") * (1 + 1e-9) >= F.col("floor")))
-    met = floors.join(limits, "dim").select("name", "id", "v", "slot", "floor", "dim", F.explode(F.transform(far, lambda b: b["block"])).alias("block"))
-    second = _scored(grouped(met, ["block"]).join(packed, "block"), k)
+    # Second pass: queries that need vectors of like length form chunks, and a
+    # chunk meets the blocks of the buckets that are long enough for it.
+    need = F.floor(F.log(F.col("floor") / F.sqrt("norm2")) / float(np.log(RATIO) * STEP)) * STEP - 1
+    least = F.when(F.col("floor") > 0, need).otherwise(F.lit(-(1 << 30))).cast("int")
+    chunks = grouped(floors.withColumn("least", least), ["dim", "least"]).withColumn("chunk", F.monotonically_increasing_id())
+    chunks = common.written(chunks, "chunks")
+    rest = packed.join(heads.select("block"), "block", "left_anti").select("dim", "bucket", "block")
+    rest = common.written(rest, "rest")
+    # A bucket is a row here, and their number follows from the range of lengths.
+    levels = rest.select("dim", "bucket").distinct()
+    pairs = chunks.select("dim", "least", "chunk").join(levels, "dim").where("bucket >= least").join(rest, ["dim", "bucket"]).select("chunk", "block")
+    met = chunks.join(pairs, "chunk").drop("dim", "least").join(packed, "block")
+    second = _scored(met, k)
+    both = first.unionByName(second)
     rank = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "vec_id"))
-    both = first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k)
+    both = both.withColumn("rank", rank).where(F.col("rank") <= k)
     return both.select("query_id", "rank", "vec_id", "score")
