@@ -239,7 +239,7 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     other = (F.col("component") != F.col("component_y")) & ((F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("id") < F.col("id_y"))))
     rest = common.written(_pairs(rows.withColumn("band", band("n")), y, ["token", "band"], other), "pairs", release=True)
     links = common.written(_links(rest, sets, percent).unionByName(first), "links", release=True)
-    for gone in (lists, heads, rows, opened, rest):
+    for gone in (lists, heads, opened, rest, known, first):
         common.forget(gone)
     return common.components(links, "components")
 
@@ -257,6 +257,8 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text",
     rows = found.select("key", "n", "class").join(common.written(roots, "roots"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rows = common.written(rows.select("key", "n", "root"), "rows", release=True)
     least = common.written(rows.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id")), "least")
+    for gone in (found, sets, counted):
+        common.forget(gone)
     named = rows.where("n > 0").join(least, "root").select("key", "n", "component_id")
     empty = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))
     return named.unionByName(empty).select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")

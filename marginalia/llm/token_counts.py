@@ -9,8 +9,9 @@ tokenizer itself drops all white space, so that it never changes a count; for
 other tokenizers the content is taken as it is.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); repeated
-rows, equal texts and rows that share an id are each returned; no rows give no
-rows; other columns of the input are ignored, whatever their names.
+rows, equal texts and rows that share an id are each returned; very long texts
+are counted whole; no rows give no rows; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -135,7 +136,8 @@ def token_counts(
     def stored() -> DataFrame:
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
         rows = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-        return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
+        # Written, so that a join with it may split the rows of a frequent content.
+        return common.written(rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")), "counts")
 
     # One row stands for all equal contents; copies are folded before the shuffle.
     misses = keyed.groupBy("content").agg(F.min("key").alias("key")).join(stored(), "content", "left_anti")
