@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from . import common
+from ..functions.arrow import mapped, trim
 
 #: Values, rows and units of a pack.
 PACK, PACK_ROWS, PACK_UNITS = 1 << 20, 1 << 17, 1 << 30
@@ -161,7 +161,7 @@ def exchange(
         return pa.table([pa.array(np.full(len(full), key[0].as_py())), table["pack"].combine_chunks().take(pa.array(full)), pa.array(counts), pa.array(data, pa.binary()), pa.nulls(len(full), pa.binary())], names)
 
     def home(table: pa.Table) -> pa.Table:
-        common.trim()
+        trim()
         n, data, notes = table["n"].to_pylist(), table["data"].to_pylist(), table["notes"].to_pylist()
         own = next(i for i, x in enumerate(notes) if x is not None)
         sizes = np.frombuffer(data[own], np.uint32, n[own]).astype(np.int64)
@@ -177,5 +177,5 @@ def exchange(
         order = np.argsort(units, kind="stable")
         return assemble(pa.ipc.open_stream(notes[own]).read_all().combine_chunks(), units[order], *(c[order] for c in columns))
 
-    met = common.mapped(rows, pack, _MOVED).groupBy("bucket").applyInArrow(meet, _MOVED)
+    met = mapped(rows, pack, _MOVED).groupBy("bucket").applyInArrow(meet, _MOVED)
     return met.groupBy("pack").applyInArrow(home, schema)

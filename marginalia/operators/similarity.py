@@ -1,14 +1,18 @@
-"""Exact set-similarity self-join with a rare-first prefix filter."""
+"""Similarity of units within blocks, ownership by rank, containment."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def prefix_length(n: Column, threshold: Column) -> Column:
-    return n - F.ceil(threshold * n - F.lit(1e-9)) + 1
+from ..functions.arrow import mapped
+from . import setjoin
 
 
 def classes(units: DataFrame, block: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -26,28 +30,35 @@ def classes(units: DataFrame, block: list[str] | None = None) -> tuple[DataFrame
 
 
 def similar_pairs(heads: DataFrame, threshold: float, block: list[str] | None = None) -> DataFrame:
-    """Pairs (a, b, shared, total) of heads with shared / total >= threshold, a < b, within a block.
+    """Pairs (a, b, shared, total) of heads with shared / total >= threshold > 0, a < b, within a block.
 
-    A unit of n tokens need only show its n - ceil(t n) + 1 rarest; tokens of
-    one unit alone meet nothing, so most prefixes vanish before the join.
+    ``heads`` has (head: long, tokens: array of distinct tokens, and the block
+    columns). Tokens are hashed to 64 bits together with their block.
     """
-    block = block or []
-    # Sets are read four times below; what an executor loses is computed again.
-    heads = heads.persist(StorageLevel.MEMORY_AND_DISK)
-    long = heads.select(*block, "head", "n", F.explode("tokens").alias("token"))
-    frequency = long.groupBy(*block, "token").agg(F.count("*").alias("df"))
-    ranked = long.join(frequency, [*block, "token"]).groupBy(*block, "head", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
-    prefix = ranked.select(*block, "head", "n", F.explode(F.slice("order", F.lit(1), prefix_length(F.col("n"), F.lit(threshold)).cast("int"))).alias("o"))
-    prefix = prefix.where("o.df > 1").select(*block, "head", "n", F.col("o.token").alias("token"))
-    right = prefix.select(*block, "token", F.col("head").alias("other"), F.col("n").alias("m"))
-    fits = (F.col("head") < F.col("other")) & (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9)
-    candidates = prefix.join(right, [*block, "token"]).where(fits).select(*block, "head", "other").distinct()
-    a = heads.select(*block, "head", F.col("tokens").alias("x"))
-    b = heads.select(*block, F.col("head").alias("other"), F.col("tokens").alias("y"))
-    checked = candidates.join(a, [*block, "head"]).join(b, [*block, "other"]).withColumn("shared", F.size(F.array_intersect("x", "y")))
-    checked = checked.withColumn("total", F.size("x") + F.size("y") - F.col("shared"))
-    checked = checked.where(F.col("shared") >= F.lit(threshold) * F.col("total") - 1e-9)
-    return checked.select(F.col("head").alias("a"), F.col("other").alias("b"), F.col("shared").cast("long"), F.col("total").cast("long"))
+    ratio = Fraction(str(threshold)).limit_denominator(10**6)
+    num, den = ratio.numerator, ratio.denominator
+    # Read by both phases below; what an executor loses is computed again.
+    sets = hashed(heads, block or []).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = setjoin.counted(sets, num, den).persist(StorageLevel.MEMORY_AND_DISK)
+    return setjoin.verified(setjoin.every_pair(kept, num, den), kept, num, den)
+
+
+def hashed(heads: DataFrame, block: list[str]) -> DataFrame:
+    """Rows (id, n, tokens: binary) of sets."""
+    tokens = F.col("tokens") if heads.schema["tokens"].dataType.simpleString() == "array<bigint>" else F.transform("tokens", lambda t: F.xxhash64(t))
+    chosen = heads.select(F.col("head").cast("long").alias("id"), F.xxhash64(F.lit(0), *block).alias("block"), tokens.alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(2)
+            first = np.asarray(sets.offsets).astype(np.int64)
+            flat = np.asarray(sets.values).view(np.uint64)[first[0] : first[-1]]
+            first = first - first[0]
+            block = setjoin.mix(np.asarray(b.column(1)).view(np.uint64))
+            flat = setjoin.mix(flat ^ np.repeat(block, np.diff(first)))
+            yield pa.record_batch([b.column(0), pa.array(np.diff(first)), setjoin.binaries(flat, first)], ["id", "n", "tokens"])
+
+    return mapped(chosen, run, "id long, n long, tokens binary")
 
 
 def owners(pairs: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -92,9 +103,19 @@ def class_owners(pairs: DataFrame, members: DataFrame, ranks: DataFrame) -> Data
 def containment(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
     """Rows (item, unit, shared, size) where a unit holds a share of an item's tokens.
 
-    Both have (item or unit, tokens). Tokens meet through an inverted index.
+    Both have (item or unit, tokens). Of an item's tokens only the size - ceil(least
+    * size) + 1 that the fewest units hold need meet; what they meet is intersected whole.
     """
-    s = small.select("item", F.size(F.array_distinct("tokens")).alias("size"), F.explode(F.array_distinct("tokens")).alias("token"))
-    t = large.select("unit", F.explode(F.array_distinct("tokens")).alias("token"))
-    hits = s.join(t, "token").groupBy("item", "unit", "size").agg(F.count("*").alias("shared"))
-    return hits.where(F.col("shared") >= F.lit(least) * F.col("size")).select("item", "unit", "shared", F.col("size").cast("long").alias("size"))
+    ratio = Fraction(str(least)).limit_denominator(10**6)
+    s = small.select("item", F.array_distinct("tokens").alias("words"))
+    t = large.select("unit", F.array_distinct("tokens").alias("told"))
+    asked = s.select("item", F.explode("words").alias("token"))
+    frequency = t.select(F.explode("told").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
+    ranked = asked.join(frequency, "token", "left").groupBy("item").agg(order.alias("order"))
+    n = F.size("order")
+    reach = n - F.ceil(n * F.lit(ratio.numerator) / F.lit(ratio.denominator) - F.lit(1e-9)) + 1
+    rare = ranked.select("item", F.explode(F.slice("order", F.lit(1), reach.cast("int"))).alias("o")).select("item", F.col("o.token").alias("token"))
+    met = t.select("unit", F.explode("told").alias("token")).join(rare, "token").select("item", "unit").distinct()
+    both = met.join(s, "item").join(t, "unit").select("item", "unit", F.size(F.array_intersect("words", "told")).cast("long").alias("shared"), F.size("words").cast("long").alias("size"))
+    return both.where(F.col("shared") * ratio.denominator >= F.col("size") * ratio.numerator)
