@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.packs import binaries, counted, exchange, repeated
 from . import common
 from .bodies import compressed, unzipped
-from .packs import binaries, counted, exchange, repeated
 from .words import _PRIME, buffers, grams, mix, slices, words
 
 #: Names of whole texts that a task remembers.

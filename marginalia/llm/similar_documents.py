@@ -42,16 +42,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import setjoin
+from ..operators.packs import binaries, counted, exchange, repeated
 from . import common
-from .packs import binaries, counted, exchange, repeated
 from .words import grams, mix, slices, words
 
-#: Seeds of the token orders.
-ORDERS = (0x1F3D5B79, 0x2E4C6A88, 0x3D5B7997)
 #: Ratio of the size bands in which members of a list meet.
 BAND = 1.03
 _SETS = "key long, n long, class binary, tokens binary"
-_COUNTED = "id long, n long, tokens binary, levels binary"
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,25 +83,6 @@ def set_digests(g: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.column_stack(sums)
 
 
-def order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
-    """Places of tokens in the order of ``seed``: by level of frequency, then by hash."""
-    return levels.astype(np.uint64) << np.uint64(56) | mix(tokens ^ np.uint64(seed)) >> np.uint64(8)
-
-
-def prefixes(tokens: np.ndarray, levels: np.ndarray, first: np.ndarray, sizes: np.ndarray, seed: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens in the prefix of their set under one order, by row and place, and those places.
-
-    ``sizes`` counts all tokens of a set; the ones that no other set holds are
-    not in ``tokens`` and stand before them in every order.
-    """
-    held = np.diff(first)
-    row = np.repeat(np.arange(len(held)), held)
-    order = np.lexsort((order_keys(tokens, levels, seed), row))
-    place = np.arange(len(tokens)) - first[row] + (sizes - held)[row]
-    inside = place < (sizes - -(-sizes * percent // 100) + 1)[row]
-    return order[inside], place[inside]
-
-
 def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """Rows (key, n, class, tokens) of all documents; tokens that other documents hold, where they may suffice for a link."""
 
@@ -130,104 +109,24 @@ def _sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return exchange(docs, kernel, counted, repeated, assemble, _SETS, ["u4"], [], values_back=True)
 
 
-def _counted(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (id, n, tokens, levels) of the classes: shared tokens, and the levels of their numbers of classes."""
-
-    def kernel(b: pa.RecordBatch, _: set) -> Iterator[tuple]:
-        for s in slices(b, "tokens"):
-            tokens = [np.frombuffer(x, np.uint64) for x in s.column(2).to_pylist()]
-            yield np.concatenate(tokens), np.repeat(np.arange(len(tokens)), list(map(len, tokens))), len(tokens), [], s.select([0, 1])
-
-    def decide(first: np.ndarray, n: int, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        total = np.add.reduceat(count.astype(np.int64), first) if n else np.zeros(0, np.int64)
-        return total > 1, [np.minimum(8 * np.log2(np.maximum(total, 1)), 255).astype(np.uint8)]
-
-    def assemble(notes: pa.Table, units: np.ndarray, tokens: np.ndarray, levels: np.ndarray) -> pa.Table:
-        sizes = notes["n"].to_numpy()
-        order = np.lexsort((tokens, units))
-        first = np.searchsorted(units, np.arange(len(sizes) + 1))
-        enough = pa.array((np.diff(first) > 0) & (100 * np.diff(first) >= percent * sizes))
-        out = notes.append_column("tokens", binaries(tokens[order], first)).append_column("levels", binaries(levels[order], first))
-        return out.filter(enough)
-
-    return exchange(sets.select("id", "n", "tokens"), kernel, counted, decide, assemble, _COUNTED, ["u4"], ["u1"], values_back=True)
-
-
-def _lists(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (token, id, n, reach, common): the first order's prefixes.
-
-    ``reach`` is the largest set that the token's place leaves room for: from
-    that place on, the overlap that a link needs must still fit.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in slices(b, "tokens"):
-                ids, sizes = s.column(0).to_numpy(), s.column(1).to_numpy()
-                tokens = [np.frombuffer(x, np.uint64) for x in s.column(2).to_pylist()]
-                held = np.array(list(map(len, tokens)))
-                first = np.concatenate([[0], np.cumsum(held)])
-                flat = np.concatenate(tokens)
-                levels = np.concatenate([np.frombuffer(x, np.uint8) for x in s.column(3).to_pylist()])
-                at, place = prefixes(flat, levels, first, sizes, ORDERS[0], percent)
-                row = np.repeat(np.arange(len(held)), held)[at]
-                reach = (100 + percent) * (sizes[row] - place) // percent - sizes[row]
-                yield pa.record_batch([pa.array(x) for x in (flat[at].view(np.int64), ids[row], sizes[row], reach, (held / sizes)[row])], ["token", "id", "n", "reach", "common"])
-
-    return common.mapped(sets, run, "token long, id long, n long, reach long, common double")
-
-
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, ratio: tuple[int, int]) -> DataFrame:
     """Links (a, b) among candidates (a, b): prefixes of the other orders are intersected, then whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                b = batch.slice(start, 64)
-                sets: dict[int, tuple] = {}
-                for i in (0, 4):
-                    sets |= {k: (n, np.frombuffer(t, np.uint64), np.frombuffer(v, np.uint8)) for k, n, t, v in zip(*(c.to_pylist() for c in b.columns[i : i + 4]), strict=True)}
-                place = {k: i for i, k in enumerate(sets)}
-                sizes, tokens, levels = zip(*sets.values(), strict=True)
-                sizes, first = np.array(sizes), np.concatenate([[0], np.cumsum(list(map(len, tokens)))])
-                flat, levels = np.concatenate(tokens), np.concatenate(levels)
-                row = np.repeat(np.arange(len(sizes)), np.diff(first))
-                heads = []
-                for seed in ORDERS[1:]:
-                    at, _ = prefixes(flat, levels, first, sizes, seed, percent)
-                    bounds = np.searchsorted(row[at], np.arange(len(sizes) + 1))
-                    heads.append([flat[at[i:j]] for i, j in zip(bounds[:-1], bounds[1:], strict=True)])
-                keep = []
-                for x, y in zip((place[k] for k in b.column(0).to_pylist()), (place[k] for k in b.column(4).to_pylist()), strict=True):
-                    met = all(len(np.intersect1d(h[x], h[y], assume_unique=True)) for h in heads)
-                    both = len(np.intersect1d(tokens[x], tokens[y], assume_unique=True)) if met else 0
-                    keep.append(met and 100 * both >= percent * (int(sizes[x] + sizes[y]) - both))
-                yield pa.record_batch([b.column(0), b.column(4)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    x = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"), F.col("levels").alias("l_a"))
-    y = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"), F.col("levels").alias("l_b"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "n_a", "t_a", "l_a", "b", "n_b", "t_b", "l_b")
-    return common.mapped(both, run, "a long, b long")
-
-
-def _pairs(x: DataFrame, y: DataFrame, on: list[str], where: F.Column) -> DataFrame:
-    """Distinct pairs (a < b) of members that meet under ``where``."""
-    met = x.join(y, on).where(where & (F.col("n_y") <= F.col("reach")) & (F.col("n") <= F.col("reach_y")))
-    return met.select(F.least("id", "id_y").alias("a"), F.greatest("id", "id_y").alias("b")).distinct()
+    return setjoin.verified(setjoin.met(pairs, sets, *ratio), sets, *ratio).select("a", "b")
 
 
 def linked(sets: DataFrame, percent: int) -> DataFrame:
     """Rows (node, component) of the classes that link, by their ids."""
-    lists = common.written(_lists(sets, percent), "lists")
+    ratio = (percent, 100)
+    lists = common.written(setjoin.lists(sets, *ratio), "lists")
     member = F.struct("id", "n", "reach")
     shared = lists.groupBy("token").agg(F.count("*").alias("length"), F.max_by(member, F.struct("common", "id")).alias("head")).where("length > 1")
     heads = common.written(shared.select("token", *[F.col(f"head.{c}").alias(f"{c}_y") for c in ("id", "n", "reach")]), "heads", release=True)
-    first = _pairs(lists, heads, ["token"], F.col("id") != F.col("id_y"))
-    first = common.written(_links(first, sets, percent), "links", release=True)
+    first = setjoin.paired(lists, heads, ["token"], F.col("id") != F.col("id_y"))
+    first = common.written(_links(first, sets, ratio), "links", release=True)
     known = common.written(common.components(first, "components"), "known")
     # Lists whose members are not all connected yet.
     rows = lists.join(heads.select("token"), "token").join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = common.written(rows.drop("common"), "rows", release=True)
+    rows = common.written(rows.drop("common", "place"), "rows", release=True)
     # Of two members that link, the smaller one's place leaves room for its own size at least.
     band = lambda c: F.floor(F.log(F.col(c).cast("double")) / float(np.log(BAND)))
     early = rows.where("reach >= n").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
@@ -237,8 +136,8 @@ def linked(sets: DataFrame, percent: int) -> DataFrame:
     y = rows.where("reach >= n").withColumn("band", F.explode(F.sequence(band("n"), band("reach"))))
     y = y.select("token", "band", *[F.col(c).alias(f"{c}_y") for c in ("id", "n", "reach", "component")])
     other = (F.col("component") != F.col("component_y")) & ((F.col("n") > F.col("n_y")) | ((F.col("n") == F.col("n_y")) & (F.col("id") < F.col("id_y"))))
-    rest = common.written(_pairs(rows.withColumn("band", band("n")), y, ["token", "band"], other), "pairs", release=True)
-    links = common.written(_links(rest, sets, percent).unionByName(first), "links", release=True)
+    rest = common.written(setjoin.paired(rows.withColumn("band", band("n")), y, ["token", "band"], other), "pairs", release=True)
+    links = common.written(_links(rest, sets, ratio).unionByName(first), "links", release=True)
     for gone in (lists, heads, opened, rest, known, first):
         common.forget(gone)
     return common.components(links, "components")
@@ -250,14 +149,14 @@ def similar(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text",
     found = common.written(_sets(texts, n, percent), "found", release=True)
     sets = found.where("tokens is not null").groupBy("class").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     sets = common.written(sets.withColumn("id", F.monotonically_increasing_id()), "sets", release=True)
-    counted = common.written(_counted(sets, percent), "counted", release=True)
-    names = linked(counted, percent)
+    shared = common.written(setjoin.counted(sets, percent, 100), "counted", release=True)
+    names = linked(shared, percent)
     roots = sets.select(F.col("id").alias("component"), F.col("class").alias("root"))
     roots = names.join(roots, "component").join(sets.select(F.col("id").alias("node"), "class"), "node").select("class", "root")
     rows = found.select("key", "n", "class").join(common.written(roots, "roots"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     rows = common.written(rows.select("key", "n", "root"), "rows", release=True)
     least = common.written(rows.where("n > 0").groupBy("root").agg(F.min("key").alias("component_id")), "least")
-    for gone in (found, sets, counted):
+    for gone in (found, sets, shared):
         common.forget(gone)
     named = rows.where("n > 0").join(least, "root").select("key", "n", "component_id")
     empty = rows.where("n = 0").select("key", "n", F.col("key").alias("component_id"))

@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from marginalia.llm import common, mixing, packs, repeated_spans, similar_documents, top_products
+from marginalia.llm import common, mixing, repeated_spans, similar_documents, top_products
+from marginalia.operators import packs
 
 SCHEMA = "doc_id long, text string, source string"
 
