@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -48,7 +49,7 @@ def binaries(parts: np.ndarray, bounds: np.ndarray, missing: np.ndarray | None =
     """Binary values: the bytes of ``parts`` between consecutive bounds."""
     offsets = (np.asarray(bounds) * parts.dtype.itemsize).astype(np.int32)
     out = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(parts).tobytes())])
-    return out if missing is None else pa.compute.if_else(pa.array(~missing), out, pa.scalar(None, pa.binary()))
+    return out if missing is None else pc.if_else(pa.array(~missing), out, pa.scalar(None, pa.binary()))
 
 
 def starts(values: np.ndarray) -> np.ndarray:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +46,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def sliced(b: pa.RecordBatch, column: str = "tokens") -> Iterator[pa.RecordBatch]:
     """Runs of rows of at most SLICE_BYTES, or of one row."""
     if b.num_rows:
-        sizes = np.asarray(pa.compute.binary_length(b.column(b.schema.get_field_index(column)))).astype(np.int64)
+        sizes = np.asarray(pc.binary_length(b.column(b.schema.get_field_index(column)))).astype(np.int64)
         reach = np.concatenate([[0], np.cumsum(sizes)])
         at = 0
         while at < b.num_rows:
