@@ -7,7 +7,7 @@ points unless a name says bytes.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,9 +18,9 @@ _WORD = r"[\p{L}\p{N}_]"
 
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
-    """Matches any phrase, ASCII case aside; an ASCII letter or digit at its edge must end a word."""
+    """Matches any phrase, the shortest first, ASCII case aside; an ASCII letter or digit at its edge must end a word."""
     parts = []
-    for p in phrases:
+    for p in sorted((p.strip() for p in phrases), key=len):
         left = rf"(?<!{_WORD})" if re.match(r"[A-Za-z0-9]", p) else ""
         right = rf"(?!{_WORD})" if re.search(r"[A-Za-z0-9]$", p) else ""
         parts.append(f"{left}\\Q{p}\\E{right}")
@@ -48,9 +48,62 @@ def occurrences(text: Column, pattern: str) -> Column:
     return F.get(F.transform(F.array(F.struct(gaps.alias("gaps"), sizes.alias("sizes"))), spans), F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with value written and computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def first_match(text: Column, pattern: str) -> Column:
+    """Span (start, end) of a pattern's first match, or null; one pass finds it, one more places it."""
+
+    def place(hit: Column) -> Column:
+        before = F.length(F.get(F.split(text, pattern, 2), F.lit(0)))
+        return F.when(hit != "", let(before, lambda b: F.struct(b.alias("start"), (b + F.length(hit)).alias("end"))))
+
+    return let(F.regexp_extract(text, pattern, 0), place)
+
+
 def marker(text: Column, phrases: Iterable[str]) -> Column:
     """The earliest occurrence, or null."""
-    return F.array_min(occurrences(text, phrase_pattern(phrases)))
+    return first_match(text, phrase_pattern(phrases))
+
+
+def source_span(pieces: Column, start: Column, end: Column) -> Column:
+    """The source bytes (start, stop) of a run's characters, through its pieces; null where none are in it."""
+
+    def cut(p: Column) -> Column:
+        def inside(x: Column) -> Column:
+            exact = F.octet_length(p["text"]) == p["stop"] - p["start"]
+            upto = lambda n: p["start"] + F.octet_length(F.substring(p["text"], F.lit(1), n))
+            whole, part = F.struct(p["start"].alias("start"), p["stop"].alias("stop")), F.struct(upto(x["lo"]).alias("start"), upto(x["hi"]).alias("stop"))
+            return F.when(x["lo"] < x["hi"], F.when(exact, part).otherwise(whole))
+
+        bounds = F.struct(F.greatest(start - p["at"], F.lit(0)).alias("lo"), F.least(end - p["at"], F.length(p["text"])).alias("hi"))
+        return let(bounds, inside)
+
+    def around(cuts: Column) -> Column:
+        span = F.struct(F.array_min(F.transform(cuts, lambda c: c["start"])).alias("start"), F.array_max(F.transform(cuts, lambda c: c["stop"])).alias("stop"))
+        return F.when(F.size(cuts) > 0, span)
+
+    return let(F.filter(F.transform(pieces, cut), lambda c: c.isNotNull()), around)
+
+
+def run_markers(runs: Column, pattern: str, field: str = "text") -> Column:
+    """Source spans of the first match in each run that has one, in order."""
+
+    def place(r: Column) -> Column:
+        return let(first_match(r[field], pattern), lambda hit: F.when(hit.isNotNull(), source_span(r["pieces"], hit["start"], hit["end"])))
+
+    return F.array_sort(F.filter(F.transform(runs, place), lambda x: x.isNotNull()))
+
+
+def run_marker(runs: Column, pattern: str, field: str = "text") -> Column:
+    """The earliest source span of a match over all runs, or null."""
+    return F.get(run_markers(runs, pattern, field), F.lit(0))
+
+
+def joined(runs: Column, field: str = "text") -> Column:
+    return F.array_join(F.transform(runs, lambda r: r[field]), " ")
 
 
 def conditional(text: Column) -> Column:
@@ -61,9 +114,15 @@ def constrained(text: Column, language: str = "en") -> Column:
     return contains_any(text, lexicons.CONSTRAINT[language]) | text.rlike(lexicons.BOUND)
 
 
+def line_spans(text: Column) -> Column:
+    """Lines as (content, end octets): ends are CR, LF or CRLF, and the last line has none."""
+    ends = F.transform(F.regexp_extract_all(text, F.lit(r"\r\n|\r|\n"), F.lit(0)), F.octet_length)
+    return F.arrays_zip(F.split(text, r"\r\n|\r|\n", -1).alias("content"), ends.alias("end"))
+
+
 def language(text: Column) -> Column:
     """ja or zh where Han and kana outnumber Latin words, else en."""
-    kana = F.regexp_count(text, F.lit(r"[\x{3040}-\x{30ff}\x{31f0}-\x{31ff}\x{ff66}-\x{ff9f}]"))
+    kana = F.regexp_count(text, F.lit(r"[\x{3040}-\x{30ff}\x{ff66}-\x{ff9f}]"))
     han = F.regexp_count(text, F.lit(r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{20000}-\x{323af}]"))
     latin = F.regexp_count(text, F.lit(r"[A-Za-z]+"))
     return F.when(kana + han > latin, F.when(kana > 0, "ja").otherwise("zh")).otherwise("en")
@@ -96,8 +155,10 @@ def shingles(text: Column, k: int) -> Column:
 
 
 def percent_decoded(text: Column) -> Column:
-    """Strict decoding: a broken escape gives null and + stays."""
-    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    """Strict decoding: a broken escape or one that is not UTF-8 gives null, and + stays."""
+    told = F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    broken = F.contains(told, F.lit("\ufffd")) & ~F.lower(text).rlike("%ef%bf%bd|\ufffd")
+    return F.when(~broken, told)
 
 
 def normal_path(path: Column) -> Column:
@@ -112,16 +173,19 @@ def normal_path(path: Column) -> Column:
 
 
 def has_scheme(destination: Column) -> Column:
-    return destination.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^//")
+    return destination.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
 
 
 def is_template(destination: Column) -> Column:
-    return destination.rlike(r"\{\{|\{%|\$\{|<[A-Za-z_]")
+    return destination.rlike(r"[\x00{}$<>]")
 
 
 def repository_root(url: Column) -> Column:
-    """Whether a link names a code host's repository and nothing inside it."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    parts = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: p != "")
-    forge = host.isin("github.com", "www.github.com", "gitlab.com", "codeberg.org", "bitbucket.org")
-    return F.coalesce(forge & (F.size(parts) == 2), F.lit(False))
+    """Whether an absolute link names a code host's repository and nothing inside it."""
+    host = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/]*)/", 1))
+    path = F.regexp_extract(url, r"^(?i:https?)://[^/]*/(.*)$", 1)
+    parts = F.split(F.regexp_replace(path, r"^/+|/+$", ""), "/")
+    owner, known = F.lower(F.get(parts, F.lit(0))), F.lit(False)
+    for forge, reserved in lexicons.FORGES.items():
+        known = F.when(host == forge, ~owner.isin(*reserved)).otherwise(known)
+    return known & ~url.rlike("[#?{}$]") & (F.size(parts) == 2) & F.forall(parts, lambda p: p != "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +14,59 @@ from ..operators.policy import glob_pattern
 SKIPPED = (".git", ".cache")
 
 
-def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, git_ignore: bool = True) -> DataFrame:
     """Rows (filename, content: binary, size) of Markdown files below ``root``.
 
-    Filters act on the path before a file's content is read.
+    Filters act on the path before a file's content is read. What .gitignore
+    files leave out is left out, unless ``git_ignore`` is off.
     """
+    rows = _files(spark, root)
+    if git_ignore:
+        rules = rows.where(F.col("filename").rlike(r"(?:^|/)\.gitignore$")).select("filename", F.col("content").cast("string").alias("text"))
+        # Configuration, of which a workspace has a few files.
+        patterns = [p for r in rules.orderBy(F.length("filename"), "filename").collect() for p in ignore_patterns(r.filename.rpartition("/")[0], r.text or "")]
+        rows = rows.where(~ignored(F.col("filename"), patterns))
+    return filtered(rows, include, exclude).where(markdown(F.col("filename")))
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     name = F.regexp_replace("path", rf"^.*?\Q{base}\E/", "")
-    rows = files.select(name.alias("filename"), "content", F.col("length").alias("size"))
-    return filtered(rows, include, exclude).where(markdown(F.col("filename")))
+    return files.select(name.alias("filename"), "content", F.col("length").alias("size"))
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Rows (path, kind) of all files below ``root`` and the folders that hold them."""
+    files = _files(spark, root).select(F.col("filename").alias("path"))
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i - 1), "/"))
+    folders = files.select(F.explode(up).alias("path")).where("path <> ''").distinct()
+    return files.withColumn("kind", F.lit("file")).unionByName(folders.withColumn("kind", F.lit("directory")))
+
+
+def ignore_patterns(folder: str, text: str) -> list[tuple[str, bool]]:
+    """The patterns of a .gitignore file in ``folder`` as (regular expression of paths, whether they are kept)."""
+    out = []
+    for line in text.splitlines():
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        kept, line = line.startswith("!"), line.removeprefix("!").removeprefix("\\")
+        only_folders, line = line.endswith("/"), line.rstrip("/")
+        anywhere, line = "/" not in line, line.removeprefix("/")
+        body = glob_pattern(line)[1:-1]
+        lead = "^" + (re.escape(folder) + "/" if folder else "") + ("(?:.*/)?" if anywhere else "")
+        out.append((lead + body + ("/" if only_folders else "(?:/|$)"), kept))
+    return out
+
+
+def ignored(path: F.Column, patterns: list[tuple[str, bool]]) -> F.Column:
+    """Whether the last pattern that matches a path leaves it out."""
+    out = F.lit(False)
+    for pattern, kept in patterns:
+        out = F.when(path.rlike(pattern), F.lit(not kept)).otherwise(out)
+    return out
 
 
 def markdown(filename) -> F.Column:
@@ -72,12 +116,30 @@ def by_content(docs: DataFrame, parse: Callable[[DataFrame], DataFrame], text: s
     return keyed.join(parse(once), "content")
 
 
-def skipped(paths: DataFrame, files: DataFrame, ignored: list[str]) -> DataFrame:
-    """Requested paths (path) without a file, and why."""
-    gone = paths.join(files.select(F.col("filename").alias("path")), "path", "left_anti")
-    hidden = F.col("path").rlike("|".join(map(glob_pattern, ignored))) if ignored else F.lit(False)
-    why = F.when(~markdown(F.col("path")), "not a Markdown file").when(hidden, "ignored").otherwise("excluded or missing")
-    return gone.select("path", why.alias("reason"))
+def skipped(paths: DataFrame, files: DataFrame, known: DataFrame, patterns: list[tuple[str, bool]] | None = None) -> DataFrame:
+    """Requested paths (path) that select no file, and why.
+
+    ``files`` has the (filename) that are checked, ``known`` (filename, included,
+    excluded) what configuration says of all files.
+    """
+    gone = paths.join(_below(files).select("path").distinct(), "path", "left_anti")
+    held = gone.join(_below(known), "path", "left").groupBy("path")
+    held = held.agg(F.count("filename").alias("n"), F.max(F.col("filename") == F.col("path")).alias("file"), F.max(~F.col("included")).alias("out"), F.max("excluded").alias("cut"))
+    file = F.coalesce("file", F.lit(False)) | F.col("path").rlike(r"\.[A-Za-z0-9]+$")
+    why = (
+        F.when(file & ~markdown(F.col("path")), "it is not a .md or .markdown file")
+        .when(file & F.col("cut"), "exclude matches it").when(file & F.col("out"), "include does not match it")
+        .when(ignored(F.col("path"), patterns or []) | ignored(F.concat("path", F.lit("/")), patterns or []), ".gitignore ignores it")
+        .when(F.col("n") > 0, F.concat(F.lit("configuration excludes its "), "n", F.lit(" Markdown files"))).when(file, "it was not found").otherwise("it contains no Markdown files")
+    )
+    return held.select("path", why.alias("reason"))
+
+
+def _below(files: DataFrame) -> DataFrame:
+    """Files once for each path that they are or lie below."""
+    parts = F.split("filename", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    return files.withColumn("path", F.explode(F.concat(F.array(F.lit(".")), above)))
 
 
 def inventory_errors(entries: DataFrame) -> DataFrame:
