@@ -35,20 +35,25 @@ def last_match(value: Column, mapping: list[tuple[str, str]]) -> Column:
 
 
 def selected_rules(files: DataFrame, rules: DataFrame, selectors: DataFrame) -> DataFrame:
-    """Rules enabled for each file.
+    """Rules (filename, code) selected for each file.
 
-    ``selectors`` has (filename, selector, action: select or ignore). A code is
-    more specific than a family, a family than ALL; on a tie, ignore wins.
-    Preview rules need a selector of their own code.
+    ``files`` has (filename) and may have (preview: boolean); ``rules`` (code,
+    family, stable); ``selectors`` (filename, selector, action: select, ignore
+    or per_file). A code is more specific than a family, a family than ALL; on
+    a tie, ignore wins. Rules that are not stable need the preview, whatever
+    selects them, and any selector under per_file takes a rule out.
     """
-    pairs = selectors.join(files.select("filename"), "filename", "left_semi")
-    exact = F.when(F.col("selector") == F.col("code"), 2).when(F.col("selector") == F.col("family"), 1).when(F.col("selector") == "ALL", 0)
-    # Rules are a fixed table of the engine, a few dozen rows.
-    scored = pairs.join(F.broadcast(rules), exact.isNotNull()).withColumn("s", exact)
-    best = scored.groupBy("filename", "code", "stable").agg(
-        F.max(F.when(F.col("action") == "select", F.col("s"))).alias("on"), F.max(F.when(F.col("action") == "ignore", F.col("s"))).alias("off")
+    preview = F.col("preview") if "preview" in files.columns else F.lit(False)
+    pairs = selectors.join(files.select("filename", F.coalesce(preview, F.lit(False)).alias("preview")), "filename")
+    family = F.substring("code", 1, 3) if "family" not in rules.columns else F.col("family")
+    # A selector names rules by a few keys, so that it meets them by equality.
+    keys = F.explode(F.array(F.struct(F.col("code").alias("selector"), F.lit(2).alias("s")), F.struct(family.alias("selector"), F.lit(1).alias("s")), F.struct(F.lit("ALL").alias("selector"), F.lit(0).alias("s"))))
+    scored = pairs.join(rules.select("code", "stable", keys.alias("k")).select("code", "stable", "k.*"), "selector")
+    best = scored.groupBy("filename", "code", "stable", "preview").agg(
+        F.max(F.when(F.col("action") == "select", F.col("s"))).alias("on"), F.max(F.when(F.col("action") == "ignore", F.col("s"))).alias("off"),
+        F.max(F.col("action") == "per_file").alias("out"),
     )
-    on = (F.col("on") > F.coalesce("off", F.lit(-1))) & (F.col("stable") | (F.col("on") == 2))
+    on = (F.col("on") > F.coalesce("off", F.lit(-1))) & (F.col("stable") | F.col("preview")) & ~F.col("out")
     return best.where(on).select("filename", "code")
 
 

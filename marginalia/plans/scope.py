@@ -22,33 +22,3 @@ class Plan:
 
 def plan(enabled: set[str], paths: list[str]) -> Plan:
     return Plan(frozenset(enabled), bool(enabled & WORKSPACE_RULES), tuple(paths))
-
-
-def merged(base: dict, over: dict) -> dict:
-    """Inherited settings: tables merge, arrays replace, ``extend-x`` arrays add to ``x``."""
-    out = dict(base)
-    for k, v in over.items():
-        if k.startswith("extend-") and isinstance(v, list):
-            name = k.removeprefix("extend-")
-            out[name] = [*out.get(name, []), *v]
-        elif isinstance(v, dict) and isinstance(out.get(k), dict):
-            out[k] = merged(out[k], v)
-        else:
-            out[k] = v
-    return out
-
-
-def inherited(configs: dict[str, dict], name: str, depth: int = 128) -> dict:
-    """A configuration with those it extends, nearest last; cycles and deep chains raise."""
-    chain: list[str] = []
-    while name is not None:
-        if name in chain:
-            raise ValueError(f"configuration cycle: {' -> '.join([*chain, name])}")
-        if len(chain) >= depth:
-            raise ValueError("configuration chain is too deep")
-        chain.append(name)
-        name = configs[name].get("extend")
-    out: dict = {}
-    for step in reversed(chain):
-        out = merged(out, {k: v for k, v in configs[step].items() if k != "extend"})
-    return out

@@ -41,3 +41,10 @@ def visible(diagnostics: DataFrame, changed: DataFrame) -> DataFrame:
     about = diagnostics.withColumn("_id", F.xxhash64(*diagnostics.columns))
     touched = about.select("_id", F.explode(F.concat(F.array("filename"), "related")).alias("changed")).join(names, "changed").select("_id").distinct()
     return about.join(touched, "_id", "left_semi").drop("_id")
+
+
+def events(raw: DataFrame) -> DataFrame:
+    """Editor events (value: JSON with a file's path and text) as changed files (filename, text); others are dropped."""
+    told = F.from_json("value", "tool_input struct<file_path:string,content:string>, file_path string, content string")
+    rows = raw.select(told.alias("e")).select(F.coalesce("e.tool_input.file_path", "e.file_path").alias("filename"), F.coalesce("e.tool_input.content", "e.content").alias("text"))
+    return rows.where("filename is not null")

@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
-from marginalia.functions import text as T
+from marginalia.operators import edits as edits_of
 from marginalia.operators import links, policy, report
-from marginalia.plans import scope
-from marginalia.rules import lexical, structure
+from marginalia.plans import config, scope
+from marginalia.rules import structure
 from marginalia.sources import markdown, workspace
 
 GUIDE = """---
@@ -43,11 +44,11 @@ def test_shredding(spark):
     raw = GUIDE.encode()
     row = {r.doc: r for r in d.collect()}
     assert (row[1].front.kind, row[1].front.canonical, row[2].front) == ("howto", True, None)
-    assert [(s.heading, s.parent, s.depth) for s in row[1].sections] == [(None, None, 0), ("Set up", 0, 1), ("Steps", 1, 2), ("Last", 0, 1)]
+    assert [(s.heading, s.parent, s.depth) for s in row[1].sections] == [(None, None, 0), ("Set up", 0, 1), ("Steps", 1, 2), ("Quoted", 2, 1), ("Last", 0, 1)]
     assert [x.destination for x in row[1].links] == ["notes.md#top", "../other/x.md"]
     assert all(raw[x.start : x.stop].startswith(b"[") for x in row[1].links)
     assert [x.text for x in row[1].identifiers] == ["app_config.port"]
-    assert [x.content for x in row[1].comments] == ["allow STL001 -- old page"]
+    assert [x.content for x in row[1].comments] == [" allow STL001 -- old page "]
     kinds = [b.kind for b in row[1].blocks]
     assert kinds.count("item") == 2 and "table" in kinds and "quote" in kinds and "code" in kinds
     assert [b.checked for b in row[1].blocks if b.kind == "item"] == [True, None]
@@ -91,24 +92,12 @@ def test_suppression(spark):
     ]
 
 
-def test_lexical_rules(spark):
-    texts = [
-        "The latest release is 1.2.3.", "Currently 1.2 or later works.", "Fixed in commit 1a2b3c4d.", "See the source.", "See the source in main.rs.",
-        "As you requested, it is done.", "I have added a test.", "It is deployed.", "If it is deployed, stop.", "This is the best.", "Calm.", "This is faster.", "It took 12 ms.",
-    ]
-    s = spark.createDataFrame([(1, i, t, "en") for i, t in enumerate(texts)], "doc long, idx int, sentence string, language string")
-    got = {(r.idx, r.code) for r in lexical.run(s).collect()}
-    assert got == {(0, "STL001"), (2, "STL003"), (3, "PTR003"), (5, "VOX001"), (6, "VOX003"), (7, "STL002"), (9, "EVD001")}
-    h = spark.createDataFrame([(1, 0, "Why we chose Spark", "en"), (1, 1, "Out of scope", "en"), (1, 2, "Usage", "en")], "doc long, idx int, sentence string, language string")
-    assert {(r.idx, r.code) for r in lexical.heading_rules(h).collect()} == {(0, "RAT002"), (1, "VOX002")}
-
-
 def test_kinds_and_edits(spark):
     d = markdown.shred(spark.createDataFrame([(1, GUIDE), (2, "x"), (3, "---\nkind: generated\n---\n")], "doc_id long, text string"))
     assert {(r.doc, r.code) for r in structure.kinds(d, spark.createDataFrame([], "doc long, kind string")).collect()} == {(2, "KND001"), (3, "KND002")}
     docs = spark.createDataFrame([(1, "aé🦀z"), (2, "abc"), (3, "abc")], "doc long, text string")
     edits = spark.createDataFrame([(1, 1, 3, "e"), (1, 7, 8, "!"), (2, 0, 2, "x"), (2, 1, 3, "y")], "doc long, start int, stop int, replacement string")
-    assert {r.doc: r.fixed for r in structure.apply_edits(docs, edits).collect()} == {1: "ae🦀!", 2: "abc", 3: "abc"}
+    assert {r.doc: r.fixed for r in edits_of.apply_edits(docs, edits).collect()} == {1: "ae🦀!", 2: "abc", 3: "abc"}
 
 
 def test_reports(spark):
@@ -136,11 +125,31 @@ def test_workspace(spark, tmp_path):
 
 
 def test_plans():
-    configs = {"a": {"extend": "b", "rules": {"x": 1}, "extend-select": ["C"]}, "b": {"rules": {"y": 2}, "select": ["A"]}}
-    assert scope.inherited(configs, "a") == {"rules": {"x": 1, "y": 2}, "select": ["A", "C"]}
+    configs = {"x/a.toml": {"extend": "../b.toml", "preview": True, "lint": {"extend-select": ["STL"], "select": ["LNK"]}}, "b.toml": {"exclude": ["v/**"], "lint": {"extend-select": ["KND"], "languages": ["en"]}}}
+    got = config.settled(config.inherited(configs, "x/a.toml"))
+    # A child's select leaves what its parent extends.
+    assert got["lint"]["select"] == ["LNK", "KND", "STL"] and got["exclude"] == ["v/**"] and got["lint"]["languages"] == ["en"]
     assert scope.plan({"LNK001"}, ["a"]).read_paths == () and scope.plan({"KND001"}, ["a"]).read_paths == ("a",)
 
 
+@pytest.mark.parametrize("raw", [
+    {"x": 1}, {"lint": {"select": ["XYZ"]}}, {"lint": {"languages": ["fr"]}}, {"kinds": [{"path": "a", "kind": "tutorial"}]}, {"sites": [{"path": "a", "root": "/d"}]},
+    {"sites": [{"path": "a", "root": "../d"}]}, {"lint": {"dup": {"min-jaccard": 2}}}, {"lint": {"lexicon": {"en": {"extend-stale-markers": [" "]}}}}, {"lint": {"extend-select": "ALL"}}, {"include": [""]},
+])
+def test_wrong_settings(raw):
+    with pytest.raises(config.ConfigError):
+        config.settled(raw)
+
+
+def test_discovery():
+    texts = {"marginalia.toml": "preview = true", "a/.marginalia.toml": "extend = '../marginalia.toml'\n[lint]\nselect = ['LNK']", "a/marginalia.toml": "x = 1", "b/pyproject.toml": "[tool.other]"}
+    got = config.discover(texts)
+    assert sorted(got) == ["", "a"] and got["a"]["preview"] and got["a"]["lint"]["select"] == ["LNK"]
+    with pytest.raises(config.ConfigError, match="cycle"):
+        config.discover({"marginalia.toml": "extend = 'marginalia.toml'"})
+    assert config.suggested(["README.md", "docs/adr/1.md", "mkdocs.yml", "vendor/x.md"])["sites"] == [{"path": "docs/**", "root": "docs"}]
+
+
 def test_globs():
     import re
 
@@ -159,4 +168,5 @@ def test_stream(spark, tmp_path):
     q = incremental.upsert_stream(source, str(tmp_path / "state"), str(tmp_path / "ck"), lambda docs, changed: seen.append({r.filename: r.text for r in docs.collect()}))
     q.awaitTermination()
     assert seen[-1] == {"a": "2", "b": "x"}
-    assert T is not None
+    told = spark.createDataFrame([('{"tool_input": {"file_path": "a.md", "content": "x"}}',), ('{"file_path": "b.md"}',), ("{",)], "value string")
+    assert [tuple(r) for r in incremental.events(told).collect()] == [("a.md", "x"), ("b.md", None)]
