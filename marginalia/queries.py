@@ -6,8 +6,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import lexicons as L
 from .functions import text as T
 from .operators import evaluate, links, policy, report, similarity
+from .plans import check, config
+from .rules import lexical
+from .sources import markdown
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,13 +34,12 @@ def sentence_split(spark, d):
 
 
 def line_table(spark, d):
-    """Byte spans of lines."""
-    docs = _table(spark, d, "documents")
-    lines = F.split("text", r"\r\n|\r|\n", -1)
-    rows = docs.select("doc_id", F.posexplode(lines).alias("line", "content"))
-    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.sum(F.octet_length("content") + 1).over(before)
-    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(at, F.lit(0)).cast("long").alias("start_byte"), F.octet_length("content").cast("long").alias("n_bytes"))
+    """Byte spans of lines; an end of CR, LF or CRLF belongs to its line."""
+    docs = _table(spark, d, "documents").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    rows = docs.select("doc_id", "row", F.posexplode(T.line_spans(F.col("text"))).alias("line", "x"))
+    before = Window.partitionBy("row").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.sum(F.octet_length("x.content") + F.coalesce("x.end", F.lit(0))).over(before)
+    return rows.select("doc_id", F.col("line").cast("long").alias("line"), F.coalesce(at, F.lit(0)).cast("long").alias("start_byte"), F.octet_length("x.content").cast("long").alias("n_bytes"))
 
 
 def detect_language(spark, d):
@@ -141,7 +144,54 @@ def marker_positions(spark, d):
 
 def conditional_sentences(spark, d):
     rows = sentence_split(spark, d)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.contains_any(F.col("sentence"), ["was", "with", "of"])).alias("n_hits"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(T.conditional(F.col("sentence"))).alias("n_hits"))
+
+
+# Words of the tables' invented prose, added to lexicons that would not occur there.
+_MORE = {"stale": {"en": ["the"]}, "constraint": {"en": ["for the"]}, "rationale": {"en": ["the", "and of", "a"]}}
+
+
+def _plain_sentences(spark, d):
+    """Sentences of plain texts as the rules take them: one run of one piece; doc is (id, place) in one number."""
+    rows = sentence_split(spark, d)
+    piece = F.struct(F.lit(0).alias("at"), F.col("sentence").alias("text"), F.lit(0).alias("start"), F.octet_length("sentence").alias("stop"))
+    runs = F.array(F.struct(F.col("sentence").alias("text"), F.col("sentence").alias("asserted"), F.array(piece).alias("pieces")))
+    return rows.select(
+        (F.col("doc_id") * 100000 + F.col("idx")).alias("doc"), "doc_id", "idx", F.lit("en").alias("language"), (F.col("idx") == 0).alias("heading"),
+        F.lit(False).alias("quoted"), F.lit(False).alias("example"), runs.alias("runs"), runs.alias("coded"),
+    )
+
+
+def stale_value_sentences(spark, d):
+    """STL001 with a word of the texts as a marker: the first value of each such sentence."""
+    found = lexical.stale_values(_plain_sentences(spark, d), _MORE)
+    return found.groupBy(F.floor(F.col("doc") / 100000).alias("doc_id")).agg(F.count("*").alias("n"), F.min("start").alias("least"))
+
+
+def rationale_heads(spark, d):
+    """RAT002 with words of the texts, first sentences as headings."""
+    found = lexical.rationale_headings(_plain_sentences(spark, d), _MORE)
+    return found.select(F.floor(F.col("doc") / 100000).alias("doc_id"), "start", "stop")
+
+
+def evaluative_claims(spark, d):
+    """Sentences that evaluate (or say "that"), neither conditional nor with a measurement."""
+    hit = T.contains_any(F.col("sentence"), [*L.EVALUATION["en"], "that"]) & ~T.conditional(F.col("sentence")) & ~F.col("sentence").rlike(L.MEASUREMENT)
+    return sentence_split(spark, d).where(hit).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"))
+
+
+def narration_hits(spark, d):
+    """Turns of conversations with a first-person account (or "of the"), by role."""
+    talk = _table(spark, d, "conversations")
+    return talk.groupBy("role").agg(F.count("*").alias("n"), F.count_if(T.contains_any(F.col("text"), [*L.NARRATION["en"], "of the"])).alias("n_hits"))
+
+
+def version_mentions(spark, d):
+    """Versions in texts made of parts: those that stand alone, by value."""
+    tail = F.when(F.col("p_partkey") % 3 == 0, F.lit(".4-rc.1")).otherwise("")
+    text = F.concat("p_name", F.lit(" v"), "p_size", F.lit("."), F.col("p_partkey") % 10, tail, F.lit(" and not 10.5x or 7"))
+    found = F.regexp_extract_all(text, F.lit(L.VERSION), F.lit(0))
+    return _table(spark, d, "part").select("p_partkey", F.explode(found).alias("value")).groupBy("value").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_key"))
 
 
 def number_mentions(spark, d):
@@ -163,15 +213,41 @@ def html_comments(spark, d):
 
 def html_title_slug(spark, d):
     head = F.regexp_extract("html", r"<h1>([^<]*)</h1>", 1)
-    ascii_only = F.regexp_replace(F.lower(head), r"[^a-z0-9 \-]", "")
-    return _table(spark, d, "pages").select("page_id", F.replace(ascii_only, F.lit(" "), F.lit("-")).alias("slug"))
+    return _table(spark, d, "pages").select("page_id", T.slug(head).alias("slug"))
+
+
+def html_anchor_ids(spark, d):
+    return links.anchors(_table(spark, d, "pages"))
+
+
+def missing_anchor(spark, d):
+    """Links from each page to its own title on the next page: those whose anchor is not there."""
+    pages = _table(spark, d, "pages")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"), F.lit(".md"))
+    slug = T.slug(F.trim(F.regexp_extract("html", r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)))
+    known = links.anchors(pages).select(name(F.col("page_id")).alias("filename"), "anchor")
+    asked = pages.select("page_id", name(F.col("page_id")).alias("source"), F.concat(name(F.col("page_id") + 1), F.lit("#"), F.regexp_replace(slug, "%", "%25")).alias("destination"))
+    found = links.resolve(asked, pages.select(name(F.col("page_id")).alias("filename")))
+    return links.missing_anchors(found, known).select("page_id", "anchor")
 
 
 def link_target_missing(spark, d):
     """Links whose path is no page's path."""
     pages = _table(spark, d, "pages")
-    known = pages.select(F.regexp_extract("url", r"^https?://[^/]+([^?#]*)", 1).alias("href")).distinct()
-    return html_links(spark, d).join(known, "href", "left_anti").groupBy("page_id").agg(F.count("*").alias("n_missing"))
+    known = pages.select(F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1).alias("filename")).distinct()
+    asked = html_links(spark, d).select("page_id", F.lit("").alias("source"), F.col("href").alias("destination"))
+    return links.resolve(asked, known).where("status = 'missing'").groupBy("page_id").agg(F.count("*").alias("n_missing"))
+
+
+def url_parts_root_pointer(spark, d):
+    """Pages' paths on hosts of code: which would be a repository's root."""
+    pages = _table(spark, d, "pages")
+    host = F.element_at(F.array(*map(F.lit, ("github.com", "www.github.com", "GitLab.com", "codeberg.org", "bitbucket.org"))), (F.col("page_id") % 5 + 1).cast("int"))
+    owner = F.when(F.col("page_id") % 7 == 0, "explore").otherwise(F.lit("owner"))
+    tail = F.when(F.col("page_id") % 3 == 0, F.lit("?x=1")).when(F.col("page_id") % 3 == 1, F.lit("/")).otherwise("")
+    path = F.regexp_extract("url", r"/([0-9]+)(?:\?|$)", 1)
+    url = F.concat(F.lit("https://"), host, F.lit("/"), owner, F.lit("/r"), path, tail)
+    return pages.select("page_id", T.repository_root(url).alias("root"))
 
 
 def url_parts(spark, d):
@@ -202,24 +278,62 @@ def last_match_wins_kind(spark, d):
 
 
 def rule_selection(spark, d):
-    files = _table(spark, d, "nation").select(F.col("n_name").alias("filename"), "n_regionkey")
+    """Selectors by region; regions 2 and 4 have the preview, and names with an A ignore LNK per file."""
+    files = _table(spark, d, "nation").select(F.col("n_name").alias("filename"), "n_regionkey", F.col("n_regionkey").isin(2, 4).alias("preview"))
     rules = spark.createDataFrame([("LNK001", "LNK", True), ("LNK002", "LNK", False), ("STL001", "STL", False), ("KND001", "KND", True)], "code string, family string, stable boolean")
     every = spark.createDataFrame([(0, "ALL", "select"), (1, "LNK", "select"), (1, "LNK001", "ignore"), (2, "LNK002", "select"), (2, "LNK", "ignore"), (3, "KND", "select"), (3, "KND", "ignore"), (4, "STL001", "select"), (4, "ALL", "select")], "region int, selector string, action string")
-    selectors = files.join(F.broadcast(every), F.col("n_regionkey") == F.col("region")).select("filename", "selector", "action")
+    selectors = files.join(every, F.col("n_regionkey") == F.col("region")).select("filename", "selector", "action")
+    selectors = selectors.unionByName(files.where("filename like '%A%'").select("filename", F.lit("LNK").alias("selector"), F.lit("per_file").alias("action")))
     return policy.selected_rules(files, rules, selectors)
 
 
 def suppression_winner(spark, d):
-    """Lines as diagnostics, orders' line ranges as suppressions, the tightest wins."""
+    """Lines as diagnostics, orders' line ranges as suppressions, the tightest wins; every third order covers its first lines alone."""
     lines = _table(spark, d, "lineitem")
     points = lines.select(F.col("l_orderkey").alias("doc"), F.lit("A").alias("code"), F.col("l_linenumber").cast("long").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
     orders = _table(spark, d, "orders")
     span = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("start", "stop", "scope", "n"), strict=True)])
-    spans = F.array(span(0, 100, 1, 0), span(2, 6, 0, 1), span(3, 5, 0, 2))
-    records = orders.where(F.col("o_orderkey") % 3 != 0).select(F.col("o_orderkey").alias("doc"), F.lit("A").alias("code"), F.inline(spans)).withColumn("record", F.col("n").cast("long"))
+    spans = F.when(F.col("o_orderkey") % 3 == 0, F.array(span(0, 3, 1, 0))).otherwise(F.array(span(0, 100, 1, 0), span(2, 6, 0, 1), span(3, 5, 0, 2)))
+    records = orders.select(F.col("o_orderkey").alias("doc"), F.lit("A").alias("code"), F.inline(spans)).withColumn("record", F.col("n").cast("long"))
     return policy.suppression_winner(points, records).select("id", "record")
 
 
+# Workspaces made from tables -----------------------------------------------
+
+
+def markdown_sections(spark, d):
+    """Parts as documents of two headings: their sections with byte spans and what they define."""
+    c = lambda x: F.col(x)
+    text = F.concat(F.lit("# "), c("p_name"), F.lit("\n\n"), c("p_brand"), F.lit(" is here. It is "), c("p_type"), F.lit(".\n\n## "), c("p_type"), F.lit("\n\n- `size_"), c("p_size"), F.lit("`: is how large it is.\n"))
+    shredded = markdown.shred(_spread(_table(spark, d, "part")).select("p_partkey", text.alias("text")), "p_partkey")
+    names = F.size(F.filter("identifiers", lambda i: F.startswith(i["text"], F.lit("size_"))))
+    rows = shredded.select(F.col("doc").alias("p_partkey"), names.cast("long").alias("n_names"), F.size("sentences").cast("long").alias("n_sentences"), F.inline("sections"))
+    return rows.select("p_partkey", F.col("idx").cast("long").alias("idx"), "heading", F.col("start").cast("long").alias("start"), F.col("own_stop").cast("long").alias("own_stop"), "n_names", "n_sentences")
+
+
+def rule_hits_by_code(spark, d):
+    """Customers as how-to pages, each with one of eight sentences: what the sentence rules find."""
+    sentences = ("The service currently uses `v7.2.3`.", "It was fixed in build `a1b2c3d`.", "For loading, see the source.", "## Why we chose Redis", "The user confirmed it does not crash.", "This form is faster.", "I have implemented the panel.", "Calm words.")
+    text = F.concat(F.lit("---\nkind: howto\n---\n# "), F.col("c_name"), F.lit("\n\n"), F.element_at(F.array(*map(F.lit, sentences)), (F.col("c_custkey") % 8 + 1).cast("int")), F.lit("\n"))
+    shredded = markdown.shred(_spread(_table(spark, d, "customer")).select("c_custkey", text.alias("text")), "c_custkey").persist(StorageLevel.MEMORY_AND_DISK)
+    codes = {"STL001", "STL003", "PTR003", "RAT002", "VOX001", "EVD001", "VOX003", "STL002", "STL004"}
+    found, _ = lexical.run(markdown.table(shredded, "sentences"), markdown.table(shredded, "blocks"), None, codes)
+    return found.groupBy("code").agg(F.count("*").alias("n"), F.min("doc").alias("first_key"))
+
+
+def workspace_links(spark, d):
+    """Nations as pages that link to their region's, the next ones' and a missing page: link rules of the whole check."""
+    nation, region = _table(spark, d, "nation"), _table(spark, d, "region")
+    own = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    slug = F.concat(F.lit("region-"), F.replace(F.lower("r_name"), F.lit(" "), F.lit("-")))
+    at = lambda n: F.concat(F.lit("(../region/"), (F.col("r_regionkey") + n).cast("string"), F.lit(".md"))
+    text = F.concat(F.lit("[a]"), at(0), F.lit("#"), slug, F.lit(") [b]"), at(1), F.lit("#"), slug, F.lit(") [c]"), at(3), F.lit(") [d](gone.md)\n"))
+    files = own.select(F.concat(F.lit("nation/"), "n_nationkey", F.lit(".md")).alias("filename"), text.alias("text"))
+    files = files.unionByName(region.select(F.concat(F.lit("region/"), "r_regionkey", F.lit(".md")).alias("filename"), F.concat(F.lit("# Region "), "r_name", F.lit("\n")).alias("text")))
+    result = check.check(files, {"": config.settled({"preview": True, "lint": {"select": ["LNK"]}})})
+    return result.diagnostics.groupBy(F.col("doc").alias("filename"), "code").agg(F.count("*").alias("n"))
+
+
 def stratified_sample(spark, d):
     docs = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id")
     return policy.stratified_sample(docs, ["lang", "quality"], ["doc_id"], 6).select("lang", "quality", "doc_id", F.col("place").cast("long").alias("place"))
@@ -286,7 +400,7 @@ def corpus_rollup(spark, d):
 
 
 def _diagnostics(spark, d):
-    lines = _table(spark, d, "lineitem").where("l_quantity >= 45")
+    lines = _table(spark, d, "lineitem")
     return lines.select(
         F.concat(F.lit("f"), F.col("l_suppkey")).alias("filename"), F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"),
         F.col("l_orderkey").alias("end_row"), (F.col("l_linenumber") + 3).cast("long").alias("end_col"), F.concat("l_returnflag", "l_linestatus").alias("code"),
@@ -342,18 +456,32 @@ found AS (SELECT page_id, regexp_extract_all(c, '<a\\s+href="([^"]*)"', 1) AS l
 link AS (SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS href FROM found)"""
 _DIAGNOSTICS = """
 d AS (SELECT 'f' || l_suppkey AS filename, l_orderkey AS row, CAST(l_linenumber AS BIGINT) AS col, l_orderkey AS end_row, CAST(l_linenumber + 3 AS BIGINT) AS end_col,
-  l_returnflag || l_linestatus AS code, 'part, 100%: ' || l_partkey AS message, l_returnflag AS r FROM lineitem WHERE l_quantity >= 45)"""
+  l_returnflag || l_linestatus AS code, 'part, 100%: ' || l_partkey AS message, l_returnflag AS r FROM lineitem)"""
 _LABELLED = """
 r AS (SELECT l.*, d.lang, d.source, CASE WHEN toxic = 1 THEN 'uncertain' WHEN quality = 1 THEN 'tp' ELSE 'fp' END AS label FROM labels l JOIN documents d USING (doc_id))"""
 _COUNTS = "count(*) FILTER (label = 'tp') AS tp, count(*) FILTER (label = 'fp') AS fp, count(*) FILTER (label = 'uncertain') AS uncertain"
 
+
+
+def _has(text: str, phrases: list[str]) -> str:
+    """SQL for whether a phrase occurs, with word boundaries at ASCII letters and digits."""
+    worded = "|".join(p.replace(".", "[.]") for p in phrases if p[0].isascii())
+    signs = "|".join(p for p in phrases if not p[0].isascii())
+    said = f"regexp_matches(lower({text}), '(^|[^\\p{{L}}\\p{{N}}_])({worded})($|[^\\p{{L}}\\p{{N}}_])')"
+    return f"({said} OR regexp_matches({text}, '{signs}'))" if signs else said
+
+
+def _slug(text: str) -> str:
+    return f"replace(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}} \\-]', '', 'g'), ' ', '-')"
+
+
 ORACLE_SQL = {
     "sentence_split": f"WITH {_SENTENCES} SELECT doc_id, unnest(range(len(s))) AS idx, unnest(s) AS sentence FROM sent",
-    "line_table": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents),
-        u AS (SELECT doc_id, unnest(range(len(p))) AS line, unnest(p) AS c FROM l)
-        SELECT doc_id, line, CAST(coalesce(sum(strlen(c) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte, strlen(c) AS n_bytes FROM u""",
+    "line_table": """WITH l AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(text, '\\r\\n|\\r|\\n') AS p, regexp_extract_all(text, '\\r\\n|\\r|\\n') AS e FROM documents),
+        u AS (SELECT r, doc_id, unnest(range(len(p))) AS line, unnest(p) AS c, unnest(list_concat(list_transform(e, lambda x: strlen(x)), [0])) AS x FROM l)
+        SELECT doc_id, line, CAST(coalesce(sum(strlen(c) + x) OVER (PARTITION BY r ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_byte, strlen(c) AS n_bytes FROM u""",
     "detect_language": """WITH t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations),
-        c AS (SELECT origin, id, len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{31f0}-\\x{31ff}\\x{ff66}-\\x{ff9f}]')) AS k, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{20000}-\\x{323af}]')) AS h, len(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM t)
+        c AS (SELECT origin, id, len(regexp_extract_all(text, '[\\x{3040}-\\x{30ff}\\x{ff66}-\\x{ff9f}]')) AS k, len(regexp_extract_all(text, '[\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{20000}-\\x{323af}]')) AS h, len(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM t)
         SELECT origin, id, CASE WHEN k + h > w THEN CASE WHEN k > 0 THEN 'ja' ELSE 'zh' END ELSE 'en' END AS language FROM c""",
     "shingle_stats": """WITH f AS (SELECT lang, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
         s AS (SELECT lang, text, string_split(t, '') AS c FROM f),
@@ -375,13 +503,31 @@ ORACLE_SQL = {
     "marker_positions": """WITH m AS (SELECT doc_id, text, regexp_extract(' ' || lower(text), '^((?s).*?)[^\\p{L}\\p{N}_]the($|[^\\p{L}\\p{N}_])', 1) AS b, regexp_matches(' ' || lower(text), '[^\\p{L}\\p{N}_]the($|[^\\p{L}\\p{N}_])') AS y,
           regexp_extract(' ' || lower(text), '^((?s).*?)[^\\p{L}\\p{N}_]of the($|[^\\p{L}\\p{N}_])', 1) AS c, regexp_matches(' ' || lower(text), '[^\\p{L}\\p{N}_]of the($|[^\\p{L}\\p{N}_])') AS z FROM documents)
         SELECT doc_id, CASE WHEN z AND length(c) < length(b) THEN length(c) ELSE length(b) END AS start, CASE WHEN z AND length(c) < length(b) THEN length(c) + 6 ELSE length(b) + 3 END AS stop FROM m WHERE y""",
-    "conditional_sentences": f"WITH {_SENTENCES}, u AS (SELECT doc_id, unnest(s) AS x FROM sent) SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(lower(x), '(^|[^\\p{{L}}\\p{{N}}_])(was|with|of)($|[^\\p{{L}}\\p{{N}}_])')) AS n_hits FROM u GROUP BY doc_id",
+    "conditional_sentences": f"WITH {_SENTENCES}, u AS (SELECT doc_id, unnest(s) AS x FROM sent) SELECT doc_id, count(*) AS n, count(*) FILTER ({_has('x', L.CONDITIONAL)}) AS n_hits FROM u GROUP BY doc_id",
+    "stale_value_sentences": f"""WITH {_SENTENCES}, u AS (SELECT doc_id, unnest(s) AS x FROM sent),
+        v AS (SELECT doc_id, x, regexp_extract(' ' || x, '^((?s).*?[^A-Za-z0-9_])((?:[vV]?[0-9]+(?:\\.[0-9]+)+(?:[-+][A-Za-z0-9.-]+)?|[A-Fa-f0-9]{{7,40}}|[A-Za-z][A-Za-z0-9_.-]*(?:/[A-Za-z0-9_.-]+)*:[A-Za-z0-9_.-]+|[0-9]+)(?:$|[^A-Za-z0-9_]))', 1) AS b FROM u
+          WHERE {_has('x', [*L.STALE['en'], 'the'])} AND NOT {_has('x', [*L.CONSTRAINT['en'], 'for the'])} AND NOT regexp_matches(x, '>=|<=|≥|≤|[0-9](\\.[0-9]+)*\\+'))
+        SELECT doc_id, count(*) AS n, CAST(min(strlen(b) - 1) AS BIGINT) AS least FROM v WHERE b <> '' GROUP BY doc_id""",
+    "rationale_heads": f"""WITH {_SENTENCES}, u AS (SELECT doc_id, s[1] AS x FROM sent WHERE len(s) > 0),
+        m AS (SELECT doc_id, regexp_extract(lower(x), '^(why we chose|why we choose|why we use|why not use|and of|the|a)($|[^\\p{{L}}\\p{{N}}_])', 1) AS h FROM u)
+        SELECT doc_id, CAST(0 AS BIGINT) AS start, CAST(strlen(h) AS BIGINT) AS stop FROM m WHERE h <> ''""",
+    "evaluative_claims": f"""WITH {_SENTENCES}, u AS (SELECT doc_id, unnest(range(len(s))) AS i, unnest(s) AS x FROM sent)
+        SELECT doc_id, count(*) AS n, min(i) AS first_idx FROM u WHERE {_has('x', [*L.EVALUATION['en'], 'that'])} AND NOT {_has('x', L.CONDITIONAL)}
+          AND NOT regexp_matches(x, '(?i)(^|[^\\p{{L}}\\p{{N}}_])[0-9]+(\\.[0-9]+)?\\s*(%|倍|秒|(ms|seconds?|requests?/s|ops/s|mb/s|gb/s)($|[^\\p{{L}}\\p{{N}}_]))') GROUP BY doc_id""",
+    "narration_hits": f"SELECT role, count(*) AS n, count(*) FILTER ({_has('text', [*L.NARRATION['en'], 'of the'])}) AS n_hits FROM conversations GROUP BY role",
+    "version_mentions": "SELECT 'v' || p_size || '.' || p_partkey % 10 || CASE WHEN p_partkey % 3 = 0 THEN '.4-rc.1' ELSE '' END AS value, count(*) AS n, min(p_partkey) AS first_key FROM part GROUP BY 1",
     "number_mentions": "WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)+')) AS v FROM documents) SELECT doc_id, count(*) AS n, min(v) AS least FROM u GROUP BY doc_id",
     "html_links": f"WITH {_CLEAN} SELECT page_id, pos, href FROM link",
     "html_comments": """WITH c AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<script[^>]*>.*?</script\\s*>|<style[^>]*>.*?</style\\s*>|<textarea[^>]*>.*?</textarea\\s*>|<title[^>]*>.*?</title\\s*>', '', 'g'), '(?s)<!--(.*?)-->', 1) AS l FROM pages)
         SELECT page_id, unnest(range(len(l))) AS pos, unnest(l) AS comment FROM c""",
-    "html_title_slug": "SELECT page_id, replace(regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '[^a-z0-9 \\-]', '', 'g'), ' ', '-') AS slug FROM pages",
-    "link_target_missing": f"WITH {_CLEAN}, k AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS href FROM pages) SELECT page_id, count(*) AS n_missing FROM link WHERE href NOT IN (SELECT href FROM k) GROUP BY page_id",
+    "html_title_slug": f"SELECT page_id, {_slug("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS slug FROM pages",
+    "html_anchor_ids": f"""WITH {_CLEAN}, h AS (SELECT page_id, unnest(list_distinct(list_concat(regexp_extract_all(c, '\\s(?:id|name)="([^"]+)"', 1), list_transform(regexp_extract_all(c, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: {_slug('trim(x)')})))) AS anchor FROM clean)
+        SELECT page_id, anchor FROM h WHERE anchor <> ''""",
+    "missing_anchor": f"""WITH {_CLEAN}, h AS (SELECT page_id, list_concat(regexp_extract_all(c, '\\s(?:id|name)="([^"]+)"', 1), list_transform(regexp_extract_all(c, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), lambda x: {_slug('trim(x)')})) AS a FROM clean),
+        q AS (SELECT page_id, {_slug("trim(regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1))")} AS anchor FROM pages)
+        SELECT q.page_id, q.anchor FROM q JOIN h ON h.page_id = q.page_id + 1 WHERE q.anchor <> '' AND NOT list_contains(h.a, q.anchor)""",
+    "link_target_missing": f"WITH {_CLEAN}, k AS (SELECT DISTINCT lower(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1)) AS p FROM pages) SELECT page_id, count(*) AS n_missing FROM link WHERE lower(substr(href, 2)) NOT IN (SELECT p FROM k) GROUP BY page_id",
+    "url_parts_root_pointer": "SELECT page_id, page_id % 5 <> 1 AND page_id % 3 <> 0 AND NOT (page_id % 7 = 0 AND page_id % 5 <> 4) AS root FROM pages",
     "url_parts": """WITH p AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, len(list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), lambda x: x <> '')) AS n FROM pages)
         SELECT page_id, host, n AS n_parts, n = 2 AS root_like FROM p""",
     "percent_decode": f"WITH {_CLEAN} SELECT page_id, pos, href || '+b' AS decoded FROM link",
@@ -389,11 +535,16 @@ ORACLE_SQL = {
     "last_match_wins_kind": "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL' THEN 'adr' WHEN p_type LIKE 'ECONOMY%' OR p_type LIKE 'PROMO%' THEN 'howto' WHEN p_type LIKE '%BRASS' THEN 'reference' ELSE 'other' END AS kind FROM part",
     "rule_selection": """WITH rules(code, family, stable) AS (VALUES ('LNK001', 'LNK', true), ('LNK002', 'LNK', false), ('STL001', 'STL', false), ('KND001', 'KND', true)),
         sel(region, selector, action) AS (VALUES (0, 'ALL', 'select'), (1, 'LNK', 'select'), (1, 'LNK001', 'ignore'), (2, 'LNK002', 'select'), (2, 'LNK', 'ignore'), (3, 'KND', 'select'), (3, 'KND', 'ignore'), (4, 'STL001', 'select'), (4, 'ALL', 'select')),
-        s AS (SELECT n_name AS filename, code, stable, action, CASE selector WHEN code THEN 2 WHEN family THEN 1 WHEN 'ALL' THEN 0 END AS s FROM nation JOIN sel ON n_regionkey = region CROSS JOIN rules),
-        b AS (SELECT filename, code, stable, max(s) FILTER (action = 'select') AS w, max(s) FILTER (action = 'ignore') AS i FROM s WHERE s IS NOT NULL GROUP BY ALL)
-        SELECT filename, code FROM b WHERE w > coalesce(i, -1) AND (stable OR w = 2)""",
-    "suppression_winner": """SELECT l_orderkey * 10 + l_linenumber AS id, CAST(CASE WHEN l_linenumber >= 3 AND l_linenumber < 5 THEN 2 WHEN l_linenumber >= 2 AND l_linenumber < 6 THEN 1 ELSE 0 END AS BIGINT) AS record
-        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 3 <> 0 GROUP BY ALL""",
+        s AS (SELECT n_name AS filename, n_regionkey IN (2, 4) AS preview, code, family, stable, action, CASE selector WHEN code THEN 2 WHEN family THEN 1 WHEN 'ALL' THEN 0 END AS s FROM nation JOIN sel ON n_regionkey = region CROSS JOIN rules),
+        b AS (SELECT filename, code, family, stable, preview, max(s) FILTER (action = 'select') AS w, max(s) FILTER (action = 'ignore') AS i FROM s WHERE s IS NOT NULL GROUP BY ALL)
+        SELECT filename, code FROM b WHERE w > coalesce(i, -1) AND (stable OR preview) AND NOT (family = 'LNK' AND filename LIKE '%A%')""",
+    "suppression_winner": """SELECT id, CAST(r AS BIGINT) AS record FROM (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS id, CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN l_linenumber < 3 THEN 0 END
+          WHEN l_linenumber >= 3 AND l_linenumber < 5 THEN 2 WHEN l_linenumber >= 2 AND l_linenumber < 6 THEN 1 ELSE 0 END AS r FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE r IS NOT NULL""",
+    "markdown_sections": """WITH t AS (SELECT p_partkey, p_name, p_type, strlen(p_name) + 4 + strlen(p_brand) + 16 + strlen(p_type) + 3 AS a, strlen(p_type) + 5 + 8 + strlen(CAST(p_size AS VARCHAR)) + 23 AS z FROM part)
+        SELECT p_partkey, CAST(unnest([0, 1, 2]) AS BIGINT) AS idx, unnest([NULL, p_name, p_type]) AS heading, CAST(unnest([0, 0, a]) AS BIGINT) AS start, CAST(unnest([0, a, a + z]) AS BIGINT) AS own_stop, CAST(1 AS BIGINT) AS n_names, CAST(5 AS BIGINT) AS n_sentences FROM t""",
+    "rule_hits_by_code": """SELECT code, count(*) AS n, min(c_custkey) AS first_key FROM (SELECT c_custkey, ['STL001', 'STL003', 'PTR003', 'RAT002', 'VOX001', 'EVD001', 'VOX003', NULL][CAST(c_custkey % 8 AS INT) + 1] AS code FROM customer) WHERE code IS NOT NULL GROUP BY code""",
+    "workspace_links": """WITH x AS (SELECT 'nation/' || n_nationkey || '.md' AS filename, n_regionkey AS r FROM nation)
+        SELECT filename, 'LNK001' AS code, CAST(1 + CAST(r + 1 > 4 AS INT) + CAST(r + 3 > 4 AS INT) AS BIGINT) AS n FROM x UNION ALL SELECT filename, 'LNK002', CAST(1 AS BIGINT) FROM x WHERE r + 1 <= 4""",
     "stratified_sample": "SELECT lang, quality, doc_id, place FROM (SELECT lang, quality, doc_id, row_number() OVER (PARTITION BY lang, quality ORDER BY doc_id) AS place FROM documents JOIN labels USING (doc_id)) WHERE place <= 6",
     "precision_by_group": f"""WITH {_LABELLED}, g AS (SELECT lang, source, {_COUNTS} FROM r GROUP BY lang, source),
         x AS (SELECT * FROM (SELECT DISTINCT lang FROM r) CROSS JOIN (SELECT DISTINCT source FROM r))
