@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrow import mapped, trim  # noqa: F401  for the operators of this package
+from ..functions.tables import forget, fresh_path, shared_dir, written  # noqa: F401
 
 #: Regular expression of a word; the byte kernels in ``words`` use the same rule.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,49 +16,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset a folder under /tmp serves, but only in local mode.
-    """
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet to the shared folder and reads it back.
-
-    ``release`` also frees the shuffle files behind it now: Spark deletes them
-    once the driver's garbage collector has seen that nothing refers to them.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    schema = df.schema
-    df.write.parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path).withMetadata(df.columns[0], {"path": path}) if df.columns else df
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files behind a table made by ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    path = df.schema[0].metadata.get("path")
-    if path:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def hex_digest(column) -> F.Column:
     return F.sha2(column, 256)
 
