@@ -189,3 +189,9 @@ def repository_root(url: Column) -> Column:
     for forge, reserved in lexicons.FORGES.items():
         known = F.when(host == forge, ~owner.isin(*reserved)).otherwise(known)
     return known & ~url.rlike("[#?{}$]") & (F.size(parts) == 2) & F.forall(parts, lambda p: p != "")
+
+
+def git_blob(content: Column) -> Column:
+    """The SHA-1 by which a version store names a file's content (binary or text)."""
+    raw = content.cast("binary")
+    return F.sha1(F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(raw).cast("string")), "UTF-8"), F.unhex(F.lit("00")), raw))

@@ -135,6 +135,11 @@ def policy_report(policies: DataFrame, enabled: DataFrame, states: DataFrame | N
     return rows.select(F.col("doc").alias("filename"), "config", kind.alias("kind"), "domain", "site_root", listed.alias("enabled_rules"), F.col("left_out").alias("excluded"), *more).orderBy("filename")
 
 
+def enabled_count(enabled: DataFrame) -> DataFrame:
+    """How many rules are enabled over all files."""
+    return enabled.agg(F.count("*").alias("enabled_rules"))
+
+
 def index_dump(shredded: DataFrame, policies: DataFrame, resolved: DataFrame) -> DataFrame:
     """One JSON object per document in order: kind, domain, language, anchors, identifiers and links with where they lead."""
     where = F.struct("idx", F.col("destination").alias("raw"), "start", "stop", "status", "target", "anchor")

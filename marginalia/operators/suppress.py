@@ -22,6 +22,8 @@ class Suppressed:
     records: DataFrame  # (record, doc, start, stop, codes, reason, error, scope_start, scope_stop, scope)
     states: DataFrame  # (record, doc, code, state, hits)
     stale: DataFrame  # (record, code) that SUP002 reports
+    winners: DataFrame  # written tables behind these
+    unused: DataFrame
 
 
 def declarations(comments: DataFrame, codes: tuple[str, ...], prefix: str = PREFIX) -> DataFrame:
@@ -103,7 +105,7 @@ def suppressed(diagnostics: DataFrame, records: DataFrame, enabled: DataFrame, i
     off = listed.join(enabled.select("doc", "code"), ["doc", "code"], "left_anti").select("record", "doc", "code", F.lit("rule_disabled").alias("state"), F.lit(0).cast("long").alias("hits"))
     bad = records.where("error is not null").select("record", "doc", F.explode("codes").alias("code"), F.lit("invalid").alias("state"), F.lit(0).cast("long").alias("hits"))
     gone = shown.select(F.col("origin").alias("record"), F.col("stale").alias("code")).unionByName(last.select("record", "code"))
-    return Suppressed(left, records, live.unionByName(off).unionByName(bad.distinct()), gone)
+    return Suppressed(left, records, live.unionByName(off).unionByName(bad.distinct()), gone, first, stale)
 
 
 def inspected(records: DataFrame, enabled: DataFrame) -> DataFrame:

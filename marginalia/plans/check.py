@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import forget, written
 from ..operators import edits, links, policy, suppress
 from ..rules import across, lexical, registry, structure
 from ..sources import markdown
@@ -36,6 +36,12 @@ class Report:
     enabled: DataFrame
     shredded: DataFrame
     links: DataFrame | None
+    tables: list[DataFrame]
+
+    def forget(self) -> None:
+        """Deletes the tables behind the report, once nothing reads it any more."""
+        for df in self.tables:
+            forget(df)
 
 
 def _glob(column: Column, globs: list[str]) -> Column:
@@ -155,7 +161,8 @@ def check(files: DataFrame, configs: dict[str, dict] | None = None, inventory: D
     records = written(records.join(known.where("kind is null or kind <> 'generated'").select("doc"), "doc", "left_semi"), "records")
     done = suppress.suppressed(diagnostics, records, enabled, incomplete)
     planned = edits.stale_edits(records, done.stale, docs, prefix)
-    return Report(done.diagnostics, incomplete, done, planned, known, enabled, shredded, resolved)
+    kept = [shredded, known, enabled, diagnostics, incomplete, records, done.winners, done.unused, *([resolved] if resolved is not None else [])]
+    return Report(done.diagnostics, incomplete, done, planned, known, enabled, shredded, resolved, kept)
 
 
 def _resolved(shredded: DataFrame, known: DataFrame, files: DataFrame, inventory: DataFrame | None) -> DataFrame:

@@ -351,7 +351,9 @@ def _labelled(spark, d):
 def precision_by_group(spark, d):
     rows = _labelled(spark, d)
     rolled = evaluate.precision(rows, ["lang", "source"])
-    dims = rows.select("lang").distinct().join(rows.select("source").distinct(), F.lit(True))
+    # Both dimensions are short lists of names; every pair of them is a group.
+    each = rows.agg(F.collect_set(F.struct("lang")).alias("langs"), F.collect_set(F.struct("source")).alias("sources"))
+    dims = each.select(F.inline("langs"), "sources").select("lang", F.inline("sources"))
     return evaluate.with_empty_groups(rolled, dims, ["lang", "source"])
 
 

@@ -305,7 +305,7 @@ class Shredder:
                 inner.append((rest, at + octets(m[0]), end))
                 fence ^= bool(_FENCE.match(rest))
                 lazy = bool(rest.strip()) and not fence and not (_HEADING.match(rest) or _FENCE.match(rest) or _BREAK.match(rest) or rest.startswith("    "))
-            elif lazy and s.strip() and not _interrupts(s):
+            elif lazy and s.strip() and not _interrupts(s) and not _ITEM.match(s):
                 inner.append((s.lstrip(), at + len(s) - len(s.lstrip()), end))
             else:
                 break
@@ -338,7 +338,7 @@ class Shredder:
                 inner.append((s[cut:], at + cut, end))
                 fence ^= bool(_FENCE.match(s[cut:]))
                 lazy, last = not fence and not _HEADING.match(s[cut:]), j + 1
-            elif lazy and not _interrupts(s):
+            elif lazy and not _interrupts(s) and not _ITEM.match(s):
                 inner.append((s.lstrip(), at + len(s) - len(s.lstrip()), end))
                 last = j + 1
             else:

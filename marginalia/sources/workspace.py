@@ -22,9 +22,7 @@ def scan(spark: SparkSession, root: str, include: list[str] | None = None, exclu
     """
     rows = _files(spark, root)
     if git_ignore:
-        rules = rows.where(F.col("filename").rlike(r"(?:^|/)\.gitignore$")).select("filename", F.col("content").cast("string").alias("text"))
-        # Configuration, of which a workspace has a few files.
-        patterns = [p for r in rules.orderBy(F.length("filename"), "filename").collect() for p in ignore_patterns(r.filename.rpartition("/")[0], r.text or "")]
+        patterns = [p for folder, text in ignore_files(spark, root) for p in ignore_patterns(folder, text)]
         rows = rows.where(~ignored(F.col("filename"), patterns))
     return filtered(rows, include, exclude).where(markdown(F.col("filename")))
 
@@ -45,6 +43,30 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.withColumn("kind", F.lit("file")).unionByName(folders.withColumn("kind", F.lit("directory")))
 
 
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """The .gitignore files below ``root`` as (folder, text), outer folders first.
+
+    Spark's readers pass over hidden files, so the driver walks the folders'
+    names; the files themselves are configuration, of which there are few.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(top).toUri().getPath().rstrip("/")
+    out, waiting = [], [top]
+    while waiting:
+        for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(waiting.pop())):
+            path = status.getPath().toUri().getPath()
+            name = path.rsplit("/", 1)[-1]
+            if status.isDirectory() and name not in SKIPPED:
+                waiting.append(path)
+            elif name == ".gitignore":
+                stream = fs.open(status.getPath())
+                out.append((path[len(top) + 1 :].rpartition("/")[0], jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+                stream.close()
+    return sorted(out, key=lambda x: (x[0].count("/") + bool(x[0]), x[0]))
+
+
 def ignore_patterns(folder: str, text: str) -> list[tuple[str, bool]]:
     """The patterns of a .gitignore file in ``folder`` as (regular expression of paths, whether they are kept)."""
     out = []
@@ -148,3 +170,10 @@ def inventory_errors(entries: DataFrame) -> DataFrame:
     parents = entries.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda i: F.array_join(F.slice(F.split(F.col("path"), "/"), F.lit(1), i - 1), "/"))).alias("path")).where("path <> ''").distinct()
     nested = entries.where("kind = 'file'").join(parents, "path", "left_semi").select("path", F.lit("file with entries below").alias("error"))
     return twice.unionByName(nested)
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Markdown files (path, blob) of two revisions that were added, modified or deleted: rows (path, status, before, after)."""
+    old, new = before.select("path", F.col("blob").alias("before")), after.select("path", F.col("blob").alias("after"))
+    rows = old.join(new, "path", "full_outer").where(markdown(F.col("path")) & ~F.col("before").eqNullSafe(F.col("after")))
+    return rows.select("path", F.when(F.col("before").isNull(), "A").when(F.col("after").isNull(), "D").otherwise("M").alias("status"), "before", "after")
