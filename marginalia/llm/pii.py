@@ -165,7 +165,7 @@ def disclosing_terms(
     term = F.explode(F.split("words", " ")).alias("term")
     frequency = texts.select(term, *[c.alias(k) for k, c in holds.items()]).where("term <> ''")
     frequency = frequency.groupBy("term").agg(F.count("*").alias("n_term"), *[F.count_if(k).alias(k) for k in ENTITIES])
-    frequency = common.written(frequency.where(F.col("n_term") >= min_texts), "frequency")
+    frequency = common.written(frequency.where(F.col("n_term") >= min_texts), "frequency", release=True)
     # How much a term tells of a kind.
     joint = frequency.select("term", "n_term", by_kind.alias("kind", "n_joint")).where(F.col("n_joint") >= min_texts)
     rated = joint.join(kinds.select("n", by_kind.alias("kind", "n_entity")), "kind")
@@ -173,7 +173,7 @@ def disclosing_terms(
     # How much it tells of one entity. Only entities of min_texts texts can have a term in as many.
     entity = texts.select("doc", F.explode("held").alias("entity"))
     common_ones = entity.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
-    common_ones = common.written(common_ones, "entities")
+    common_ones = common.written(common_ones, "entities", release=True)
     per_text = entity.join(common_ones, "entity").groupBy("doc").agg(F.collect_list(F.struct("entity", "n_entity")).alias("known"))
     both = texts.select("doc", "words").join(per_text, "doc").select(F.explode("known").alias("known"), "words").select("known", term).where("term <> ''")
     both = both.groupBy("known", "term").agg(F.count("*").alias("n_joint")).where(F.col("n_joint") >= min_texts)
@@ -181,7 +181,10 @@ def disclosing_terms(
     both = both.select("term", F.col("known.entity.kind").alias("kind"), F.col("known.n_entity").alias("n_entity"), "n_joint", "n_term", "n")
     of_entities = both.select("term", "kind", disclosure("n_joint", "n_term", "n_entity", "n").alias("disclosure"))
     rated = of_kinds.unionByName(of_entities).where(F.col("disclosure") >= generalise_at)
-    return rated.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure"))
+    rated = common.written(rated.groupBy("term", "kind").agg(F.max("disclosure").alias("disclosure")), "terms", release=True)
+    for gone in (texts, frequency, common_ones):
+        common.forget(gone)
+    return rated
 
 
 def sanitise(
@@ -189,7 +192,7 @@ def sanitise(
 ) -> DataFrame:
     """``docs`` with spans of each kind and of terms, and the text without them."""
     based = with_base(docs, text)
-    terms = common.written(disclosing_terms(based, text, min_texts, generalise_at), "terms")
+    terms = disclosing_terms(based, text, min_texts, generalise_at)
     out = based
     if terms.isEmpty():
         out = out.withColumn("term", F.array().cast(TERMS))
