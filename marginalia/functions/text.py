@@ -19,11 +19,13 @@ _WORD = r"[\p{L}\p{N}_]"
 
 def phrase_pattern(phrases: Iterable[str]) -> str:
     """Matches any phrase, the shortest first, ASCII case aside; an ASCII letter or digit at its edge must end a word."""
-    parts = []
+    # Phrases with the same edges share one look at the characters around them.
+    groups: dict[tuple[str, str], list[str]] = {}
     for p in sorted((p.strip() for p in phrases), key=len):
         left = rf"(?<!{_WORD})" if re.match(r"[A-Za-z0-9]", p) else ""
         right = rf"(?!{_WORD})" if re.search(r"[A-Za-z0-9]$", p) else ""
-        parts.append(f"{left}\\Q{p}\\E{right}")
+        groups.setdefault((left, right), []).append(f"\\Q{p}\\E")
+    parts = [f"{left}(?:{'|'.join(ps)}){right}" for (left, right), ps in groups.items()]
     return f"(?i)(?:{'|'.join(parts)})"
 
 

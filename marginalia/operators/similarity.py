@@ -108,7 +108,8 @@ def containment(small: DataFrame, large: DataFrame, least: float) -> DataFrame:
     """
     ratio = Fraction(str(least)).limit_denominator(10**6)
     s = small.select("item", F.array_distinct("tokens").alias("words"))
-    t = large.select("unit", F.array_distinct("tokens").alias("told"))
+    # Read for the frequencies, for the rare tokens and for whole sets; what an executor loses is computed again.
+    t = large.select("unit", F.array_distinct("tokens").alias("told")).persist(StorageLevel.MEMORY_AND_DISK)
     asked = s.select("item", F.explode("words").alias("token"))
     frequency = t.select(F.explode("told").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")))
