@@ -99,7 +99,7 @@ def _documents(spark, tmp_path, n):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["ambiguous_member_owner", "ambiguous_owner", "member_threshold_sweep", "near_duplicate_documents", "near_duplicate_member_owner", "near_duplicate_owner", "threshold_sweep"])
+@pytest.mark.parametrize("name", ["ambiguous_member_owner", "ambiguous_owner", "member_threshold_sweep", "near_duplicate_documents", "near_duplicate_member_owner", "near_duplicate_members", "near_duplicate_owner", "threshold_sweep"])
 def test_no_whole_set_is_shuffled_or_held(spark, tmp_path, name):
     """What a query shuffles and caches stays below 8 bytes a shingle, which whole sets would take."""
     d = _documents(spark, tmp_path, 1600)
