@@ -116,3 +116,26 @@ def _moved(spark):
     jvm = sc._jvm
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["ambiguous_owner"])
+def test_what_moves_grows_with_texts_not_with_their_pairs(spark, tmp_path, name):
+    """Of near copies that are all alike each moves its text a few times, not once for each other one."""
+    rng = random.Random(7)
+    n, length = 60, 40_000
+    base = [rng.choice("abcdefghij ") for _ in range(length)]
+    rows = []
+    for i in range(n):
+        text = base.copy()
+        text[rng.randrange(length)] = "k"
+        rows.append((i, "".join(text), "en", "web", length))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 3, i % 2) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    before = _moved(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert queries.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert _moved(spark) - before < 16 * length * n
