@@ -118,7 +118,7 @@ def _moved(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["ambiguous_owner", "near_duplicate_member_owner", "near_duplicate_owner"])
+@pytest.mark.parametrize("name", ["ambiguous_owner", "near_duplicate_member_owner", "near_duplicate_owner", "threshold_sweep"])
 def test_what_moves_grows_with_texts_not_with_their_pairs(spark, tmp_path, name):
     """Of near copies that are all alike each moves its text a few times, not once for each other one."""
     rng = random.Random(7)
