@@ -1,11 +1,16 @@
+import gc
 import itertools
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
 
 from marginalia import queries
+from marginalia.functions import tables
 from marginalia.operators import alike
 
 
@@ -89,6 +94,11 @@ def test_parities_never_exceed_the_difference():
         assert alike.differing(x, y) == alike.differing(y, x) <= len(np.setxor1d(u, v))
 
 
+def test_parities_take_no_more_bits_than_tokens():
+    for n in (9, 65, 1100):
+        assert 8 * len(alike.parities(np.arange(n, dtype=np.uint64), np.array([0, n]))[0]) <= n
+
+
 def _documents(spark, tmp_path, n):
     rng = random.Random(n)
     rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(600)), "en", "web", 600) for i in range(n)]
@@ -139,3 +149,39 @@ def test_what_moves_grows_with_texts_not_with_their_pairs(spark, tmp_path, name)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert _moved(spark) - before < 16 * length * n
+
+
+@pytest.mark.parametrize("name", ["near_duplicate_owner"])
+def test_marks_are_on_disk_once_when_their_answers_come_back(spark, tmp_path, monkeypatch, name):
+    """Shuffles and tables between steps stay below 3.5 bytes a shingle at the end of each write."""
+    rng = random.Random(3)
+    n, length = 400, 4_000
+    rows = [(i, "".join(rng.choice("abcdefghij ") for _ in range(length)), "en", "web", length) for i in range(n)]
+    rows += [(n + i, rows[i][1][:-10] + "changed at", "en", "web", length) for i in range(n // 4)]
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(str(tmp_path / "in/documents.parquet"))
+    spark.createDataFrame([(i, i % 3, i % 2) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "in/labels.parquet"))
+    tops = [tmp_path / "shared", *map(Path, spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())]
+    peaks = []
+    parquet = DataFrameWriter.parquet
+
+    def used():
+        return sum(p.stat().st_size for top in tops for p in top.rglob("*") if p.name.endswith((".data", ".parquet")))
+
+    def watched(self, *args, **more):
+        parquet(self, *args, **more)
+        peaks.append(used())
+
+    _freed(spark)
+    before = used()
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    assert queries.QUERIES[name](spark, str(tmp_path / "in")).collect()
+    assert max(peaks) - before < 3.5 * sum(len(r[1]) for r in rows)
+
+
+def _freed(spark):
+    """Waits until the shuffles that nothing refers to are gone."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(2)
