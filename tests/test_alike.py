@@ -151,7 +151,7 @@ def test_what_moves_grows_with_texts_not_with_their_pairs(spark, tmp_path, name)
     assert _moved(spark) - before < 16 * length * n
 
 
-@pytest.mark.parametrize("name", ["near_duplicate_owner"])
+@pytest.mark.parametrize("name", ["near_duplicate_owner", "threshold_sweep"])
 def test_marks_are_on_disk_once_when_their_answers_come_back(spark, tmp_path, monkeypatch, name):
     """Shuffles and tables between steps stay below 3.5 bytes a shingle at the end of each write."""
     rng = random.Random(3)
