@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries of each of the two generations of a worker's table of words, and the
-#: characters of the longest word it keeps.
-TABLE_WORDS, TABLE_WORD = 300_000, 64
+#: bytes of the longest word it keeps.
+TABLE_WORDS, TABLE_WORD = 300_000, 192
+#: What becomes one blank: all runs of ASCII white space but a single blank, which stays.
+_RUNS = r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]"
 CACHE_SCHEMA = "tokenizer string, content string, n_tokens long"
 
 
@@ -64,8 +66,8 @@ class Counter:
 
     def __init__(self, path: str) -> None:
         self.by_word = drops_white_space(path)
-        self.table: dict[str, int] = {}
-        self.older: dict[str, int] = {}
+        self.table: dict[bytes, int] = {}
+        self.older: dict[bytes, int] = {}
         if path.endswith(".json"):
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
@@ -89,30 +91,27 @@ class Counter:
     def count(self, text: str) -> int:
         if not self.by_word:
             return self.encode([text])[0]
-        words = ascii_split(text)
+        words = text.encode().split()  # bytes part at ASCII white space only
         table, older = self.table, self.older
         if len(table) > TABLE_WORDS:  # words in use move from the older generation to the new one
             self.table, self.older = table, older = {}, table
-        missing, total = [], 0
-        for w in {w for w in words if w not in table}:
+        missing, long = [], []
+        for w in set(words).difference(table):
             if len(w) > TABLE_WORD:
-                total += words.count(w) * self.encode([w])[0]
+                long.append(w)
             elif (n := older.get(w)) is None:
                 missing.append(w)
             else:
                 table[w] = n
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            table.update(zip(part, self.encode(part), strict=True))
-        return total + sum(table[w] for w in words if len(w) <= TABLE_WORD)
-
-
-def ascii_split(text: str) -> list[str]:
-    """Words between ASCII white space; unlike str.split() it leaves other white space alone."""
-    return [x for x in text.translate(_BLANK).split(" ") if x]
-
-
-_BLANK = dict.fromkeys(range(0x09, 0x0E), " ")
+            table.update(zip(part, self.encode([w.decode() for w in part]), strict=True))
+        for w in long:
+            table[w] = self.encode([w.decode()])[0]
+        total = sum(map(table.__getitem__, words))
+        for w in long:
+            del table[w]
+        return total
 
 
 def token_counts(
@@ -129,9 +128,11 @@ def token_counts(
     version = tokenizer_digest(tokenizer)
     content = F.coalesce(F.col(text), F.lit(""))
     if drops_white_space(tokenizer):
-        content = F.trim(F.regexp_replace(content, r"[\x20\x09-\x0D]+", " "))
+        content = F.trim(F.regexp_replace(content, _RUNS, " "))
     keyed = docs.select(F.col(key).alias("key"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), content.alias("body"))
-    keyed = keyed.withColumn("content", F.sha2("body", 256))
+    # Never null, so that no filter digests each text once more.
+    keyed = keyed.withColumn("content", F.coalesce(F.sha2("body", 256), F.lit("")))
+    digests = common.written(keyed.drop("body"), "digests")
 
     def stored() -> DataFrame:
         spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache)
@@ -140,7 +141,7 @@ def token_counts(
         return common.written(rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens")), "counts")
 
     # One row stands for all equal contents; copies are folded before the shuffle.
-    misses = keyed.groupBy("content").agg(F.min("key").alias("key")).join(stored(), "content", "left_anti")
+    misses = digests.groupBy("content").agg(F.min("key").alias("key")).join(stored(), "content", "left_anti")
     misses = common.written(misses, "misses")
     if not misses.isEmpty():
         bodies = keyed.select("key", "content", "body").join(
@@ -154,4 +155,4 @@ def token_counts(
                 yield pa.record_batch([pa.array([version] * len(counts)), b.column(0), pa.array(counts, pa.int64())], ["tokenizer", "content", "n_tokens"])
 
         common.mapped(bodies, encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return keyed.drop("body").join(stored(), "content").select(F.col("key").alias(key), "n_bytes", "n_tokens")
+    return digests.join(stored(), "content").select(F.col("key").alias(key), "n_bytes", "n_tokens")

@@ -51,6 +51,30 @@ def test_counts_are_the_librarys_and_are_kept(spark, odd):
     assert token_counts.token_counts(docs(spark, odd).limit(0), path, cache).count() == 0
 
 
+def test_texts_are_digested_once_to_be_found_and_once_to_be_encoded(spark, odd, monkeypatch, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sent, mapped = [], common.mapped
+    monkeypatch.setattr(common, "mapped", lambda df, *more: sent.append(plan(df)) or mapped(df, *more))
+    docs(spark, odd).write.parquet(str(tmp_path / "d"))
+    out = token_counts.token_counts(spark.read.parquet(str(tmp_path / "d")), tokenizer_path("word_bpe_49k.json"), common.fresh_path(spark, "test-cache"))
+    assert [p.count("sha2(") for p in sent] == [1]
+    assert "sha2(" not in plan(out) and "regexp_replace" not in plan(out)
+    assert out.count() == len(odd)
+
+
+def test_words_of_all_lengths_are_counted_through_the_table(monkeypatch, odd):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "TABLE_WORDS", 40)
+    path = tokenizer_path("word_bpe_49k.json")
+    model, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    white = [chr(i) for i in range(0x80) if chr(i).isspace()] + ["\x85", "\u2028", "\u00a0"]
+    texts = [w.join(["ab", "É" * n, "x" * n, "ab", "x" * n, ""]) for w in white for n in (1, 63, 64, 65, 192, 193, 500)]
+    for t in texts + [t or "" for t in odd] + texts:
+        assert counter.count(t) == len(model.encode(t, add_special_tokens=False).ids)
+    assert max(map(len, counter.table)) <= token_counts.TABLE_WORD
+
+
 def rules_by_hand(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
